@@ -16,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, k=3)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.tokencount import token_counts
 
@@ -23,8 +29,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
