@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import table
+from tessella.llm._shared import fold_of, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,10 +35,32 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~held_out)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
