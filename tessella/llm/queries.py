@@ -29,6 +29,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.chat import read_back, windows
+
+    probe = "</s>[INST] ok [/INST]"
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("select cast(x.c as bigint) conv_id, cast(x.t as bigint) turn, x.r role, x.s text from (select explode(array(struct(-1 c, 0 t, 'user' r, :s s), struct(-1 c, 1 t, 'assistant' r, :s s))) x)", {"s": probe})
+    got = read_back(windows(talks.unionByName(extra)))
+    per = got.select(
+        "conv_id", "block", "window", F.size("turns").alias("n"), F.char_length("formatted").alias("chars"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), F.array_join("learnt", "").alias("learnt"),
+    )
+    # stretches of 64 windows first, so that a long conversation does not bring all its windows into one task
+    order = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
+    text = lambda c: F.array_join(F.transform("w", lambda w: w[c]), "")
+    sums = [F.sum("n").alias("n"), F.sum("chars").alias("chars")]
+    part = per.groupBy("conv_id", "block", F.floor(F.col("window") / 64).alias("part")).agg(order("window", "said", "learnt").alias("w"), *sums)
+    part = part.select("conv_id", "block", "part", "n", "chars", text("said").alias("said"), text("learnt").alias("learnt"))
+    whole = part.groupBy("conv_id").agg(order("block", "part", "said", "learnt").alias("w"), *sums)
+    learnt = text("learnt")
+    return whole.select(
+        "conv_id", F.col("n").cast("long").alias("n_turns"), F.sha2(text("said").cast("binary"), 256).alias("turns_sha256"), F.char_length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"), F.col("chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.decontam import contamination
 
@@ -58,6 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op4_chat_format": op4_chat_format,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_toxicity": op10_toxicity,
