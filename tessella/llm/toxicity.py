@@ -27,11 +27,11 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b
 PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that are features of their own
 
 # Bounds of the training sample: rows, and bytes of a text.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 3000, 6000, 100_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 2000, 5000, 50_000
 
 
 # What a feature must have: rows and share of the positives, times its share in harmless text, standard deviations.
-LEAST_DF, LEAST_SHARE, LEAST_LIFT, LEAST_SIGMA = 3, 0.015, 4.0, 5.0
+LEAST_DF, LEAST_SHARE, LEAST_LIFT, LEAST_SIGMA = 3, 0.03, 4.0, 5.0
 
 
 @dataclass
@@ -49,20 +49,27 @@ class Model:
         return self.bias + s
 
 
-def features(text: bytes | None) -> set[tuple[bool, bytes]]:
+def features(text: bytes | None) -> set[bytes]:
+    """A text's different words, marked =, and beginnings of words, marked ^."""
     words = set((text or b"").translate(TABLE).split())
-    return {(True, w) for w in words} | {(False, w[:n]) for n in PREFIXES for w in words if len(w) > n}
+    return {b"=" + w for w in words} | {b"^" + w[:n] for n in PREFIXES for w in words if len(w) > n}
 
 
-def telling(positive: list[set], unlabelled: list[set], prior: float) -> list[tuple[bool, bytes]]:
+def telling(positive: list[bytes], unlabelled: list[bytes], prior: float) -> list[bytes]:
     """Features that toxic texts have clearly more often than harmless ones; the share that harmless texts have is the
-    unlabelled share less what toxic texts among them account for."""
+    unlabelled share less what toxic texts among them account for. Counts by hash come first, so that only features
+    that may be frequent enough are held in memory by name."""
     n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = Counter(f for bag in positive for f in bag), Counter(f for bag in unlabelled for f in bag)
+    least = max(LEAST_DF, LEAST_SHARE * n_p)
+    rough = np.zeros(1 << 22, np.int32)
+    code = lambda f: zlib.crc32(f) & ((1 << 22) - 1)
+    for t in positive:
+        rough[np.unique(np.fromiter(map(code, features(t)), np.int64))] += 1
+    in_p = Counter(f for t in positive for f in features(t) if rough[code(f)] >= least)
+    in_p = {f: n for f, n in in_p.items() if n >= least}
+    in_u = Counter(f for t in unlabelled for f in in_p.keys() & features(t))
     out = []
     for f, n in in_p.items():
-        if n < max(LEAST_DF, LEAST_SHARE * n_p):
-            continue
         share_u = (in_u[f] + 0.5) / (n_u + 1)
         harmless = (max(in_u[f] / n_u - prior * n / n_p, 0) * n_u + 0.5) / ((1 - prior) * n_u + 1)
         if n / n_p >= LEAST_LIFT * harmless and n / n_p - share_u >= LEAST_SIGMA * math.sqrt(share_u * (1 - share_u) / n_p):
@@ -92,10 +99,9 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u:
         return Model(-5.0, {}, {})
-    bags = [features(t) for t in positive + unlabelled]
-    names = telling(bags[:n_p], bags[n_p:], prior)
+    names = telling(positive, unlabelled, prior)
     at = {f: i for i, f in enumerate(names)}
-    rows = [sorted(at[f] for f in bag if f in at) for bag in bags]
+    rows = [sorted(at[f] for f in at.keys() & features(t)) for t in positive + unlabelled]
     idx = np.array([i for r in rows for i in r], dtype=np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     is_p = np.arange(len(rows)) < n_p
@@ -112,7 +118,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weight = dict(zip(names, w[:-1].tolist(), strict=True))
-    return Model(float(w[-1]), {f: x for (whole, f), x in weight.items() if whole}, {f: x for (whole, f), x in weight.items() if not whole})
+    return Model(float(w[-1]), {f[1:]: x for f, x in weight.items() if f[:1] == b"="}, {f[1:]: x for f, x in weight.items() if f[:1] == b"^"})
 
 
 def sample(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str, max_bytes: int) -> DataFrame:
