@@ -31,7 +31,7 @@ MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 2000, 5000, 50_000
 
 
 # What a feature must have: rows and share of the positives, times its share in harmless text, standard deviations.
-LEAST_DF, LEAST_SHARE, LEAST_LIFT, LEAST_SIGMA = 3, 0.03, 4.0, 5.0
+LEAST_DF, LEAST_SHARE, LEAST_LIFT, LEAST_SIGMA = 3, 0.015, 10.0, 5.0
 
 
 @dataclass
