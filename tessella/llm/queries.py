@@ -29,6 +29,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pieces import segment
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return segment(docs, tokenizer_path("piece_bpe_32k.model"), pieces=False).drop("text")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.chat import read_back, windows
 
@@ -83,6 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_chat_format": op4_chat_format,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
