@@ -77,6 +77,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.lines import dedup_lines
+
+    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.ann import nearest
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_line_dedup": op8_line_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
