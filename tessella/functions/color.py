@@ -56,13 +56,13 @@ def parse_hex(c: Column | str) -> list[Column]:
 
 def one_decimal(v: Column) -> Column:
     """One digit behind the point, rounded from the exact binary value, exact halves to even. The fraction is taken as a
-    whole number of 2 ** -52 and compared in whole numbers."""
+    whole number of 2 ** -58 and compared in whole numbers."""
     v = v.cast("double")
     size = F.abs(v)
-    whole, unit = F.floor(size), 1 << 52
+    whole, unit = F.floor(size), 1 << 58
     scaled = (size - whole) * F.lit(float(unit))
     n = F.floor(scaled) * 10
-    digit, rest = F.shiftright(n, 52), n.bitwiseAND(F.lit(unit - 1))
+    digit, rest = F.shiftright(n, 58), n.bitwiseAND(F.lit(unit - 1))
     rest = rest * 2 + F.when(scaled > F.floor(scaled), 1).otherwise(0)
     up = (rest > unit) | ((rest == unit) & (digit % 2 == 1))
     tenths = whole * 10 + digit + F.when(up, 1).otherwise(0)
