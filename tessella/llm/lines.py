@@ -164,12 +164,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     src = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text")).where("doc is not null")
     lines = stored(src.mapInArrow(_lines, f"doc {kind}, line int, again boolean, h1 long, h2 long, keys array<bigint>"), "lines")
     firsts = lines.where("not again")
-    earliest = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("m"))
-    told = stored(firsts.join(earliest, ["h1", "h2"]).select("doc", "line", "keys", "h1", (F.col("doc") > F.col("m")).alias("copy")), "told")
+    several = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "m")
+    several = stored(several, "several")  # a plain table, so that Spark may split this join where a line is very common
+    told = firsts.join(several, ["h1", "h2"], "left")
+    told = stored(told.select("doc", "line", "keys", "h1", F.coalesce(F.col("doc") > F.col("m"), F.lit(False)).alias("copy")), "told")
     copies = lines.where("again").select("doc", "line").unionByName(told.where("copy").select("doc", "line"))
 
     halves = told.where("not copy").select("doc", "line", "h1", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    shared = stored(shared, "shared")
     picked = halves.join(shared, "key").select("doc", "line").distinct()
     lists = stored(picked.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("picked")), "picked")
     texts = stored(_with_lists(src, lists, "inner").select("doc", "text", "picked").mapInArrow(_pick, f"doc {kind}, line int, flat binary").dropDuplicates(["doc", "line"]), "texts")
@@ -196,7 +199,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     columns named ``n_lines`` and ``n_removed`` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = stored(repeated_lines(docs, doc_id, text), "gone").groupBy("doc").agg(F.collect_list("line").alias("__gone"))
+    gone = repeated_lines(docs, doc_id, text).groupBy("doc").agg(F.collect_list("line").alias("__gone"))
     src = docs.select(*kept, F.col(doc_id).alias("doc"))
     whole = _with_lists(src, stored(gone, "lists"), "left").select(*kept, "__gone")
 
