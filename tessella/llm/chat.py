@@ -72,7 +72,7 @@ def windows(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     """``(conv_id, block, window, formatted, n_repeated, mask)``: windows of every conversation, in order of ``block``
     and ``window``; ``mask`` has start and length, in characters of ``formatted``, of the texts that are learnt from.
 
-    Turns are ordered by number, then role and text; repeated rows are turns of their own. Null text and null role are
+    Turns are ordered by number, then by role and text as the template writes them; repeated rows are turns of their own. Null text and null role are
     empty, a null number comes first, null ids are one conversation. A turn that is larger than the budget has a window
     of its own, whole. Only the named columns are read, so other columns cannot clash; no rows give no windows.
     """
