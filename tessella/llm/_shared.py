@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -55,16 +57,43 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
         _made[top] = []
         atexit.register(_drop, sc, top)
     _made[top].append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that was made of them is written itself."""
+    for df in tables:
+        _delete(df.sparkSession.sparkContext, df._stored_at)
+
+
+def _delete(sc, at: str) -> None:
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _drop(sc, top: str) -> None:
-    try:
-        jvm = sc._jvm
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; its folder goes with it
-        pass
+    if sc._jsc is not None:  # else the session has ended before
+        try:
+            _delete(sc, top)
+        except OSError:  # the gateway has gone
+            pass
+
+
+def lean(run):
+    """``run`` over batches that gives memory back when its input ends: workers live on and serve other operators, and
+    what the allocator keeps would add up."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not the C library that has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def fold_of(doc_id: str, parts: int) -> Column:
@@ -91,7 +120,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("p")
         )
-        e = stored(small.select("p.a", "p.b").where("a <> b").distinct(), "edges")
+        last, e = e, stored(small.select("p.a", "p.b").where("a <> b").distinct(), "edges")
+        release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

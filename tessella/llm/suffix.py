@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import ship, stored
+from tessella.llm._shared import release, ship, stored
 
 GROUP = 8192  # different surroundings of one string that a task compares; larger groups are counted by window hash
 BROADCAST_ROWS = 200_000  # lists by document: broadcast up to here, shuffled beyond
@@ -149,8 +149,10 @@ def _before(df: DataFrame, name: str, *keys: str) -> DataFrame:
     tops = df.groupBy("part").agg(F.max(own).alias("top"))  # one row for each partition
     carried = tops.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     here = F.max(own).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("here", here).where("ra is null").join(F.broadcast(carried), "part")
-    return df.select("seq", "j", F.coalesce(F.greatest("here", "carried"), none).alias(name))
+    got = df.withColumn("here", here).where("ra is null").join(F.broadcast(carried), "part")
+    got = stored(got.select("seq", "j", F.coalesce(F.greatest("here", "carried"), none).alias(name)), "before")
+    release(df)
+    return got
 
 
 def _next(column: str, step: int) -> Column:
@@ -170,9 +172,12 @@ def suffix_ranks(names: DataFrame, enough: int, depth: int = 0) -> DataFrame:
     all_ = stored(all_, f"triples{depth}")
     sampled = all_.where("j % 3 <> 0")
     triples = sampled.groupBy("name", "n2", "n3").agg(F.count("*").alias("n"), F.min("cover3").alias("least"))
-    named = _ordered(triples, f"named{depth}", "name", "n2", "n3").select("name", "n2", "n3", "n", "least", (F.col("at") + 1).alias("ra"))
-    known = stored(sampled.join(named, ["name", "n2", "n3"]).select("seq", "j", "cover3", "ra", ((F.col("n") > 1) & (F.col("least") < enough) & (F.col("n3") > 0)).alias("open")), f"sampled{depth}")
-    settle(spark)
+    order = _ordered(triples, f"named{depth}", "name", "n2", "n3")
+    named = order.select("name", "n2", "n3", "n", "least", (F.col("at") + 1).alias("ra"))
+    known = decided = stored(sampled.join(named, ["name", "n2", "n3"]).select("seq", "j", "cover3", "ra", ((F.col("n") > 1) & (F.col("least") < enough) & (F.col("n3") > 0)).alias("open")), f"sampled{depth}")
+    release(order)
+    if not depth:
+        settle(spark)
     if depth < MAX_ROUNDS and known.where("open").head(1):
         # the sequences of names at positions 1 and 2 modulo 3; of decided names only those that follow open ones matter
         deep = known.withColumns({"s2": F.xxhash64("seq", F.col("j") % 3), "j2": F.floor(F.col("j") / 3).cast("int")})
@@ -180,7 +185,8 @@ def suffix_ranks(names: DataFrame, enough: int, depth: int = 0) -> DataFrame:
         by = Window.partitionBy("seq").orderBy("j")
         follows = F.coalesce((F.lag("j").over(by) == F.col("j") - 1) & F.lag("open").over(by), F.lit(False))
         chain = chain.withColumn("wanted", F.col("open") | follows).where("wanted").select("seq", "j", "name", "cover")
-        deeper = suffix_ranks(stored(chain, f"chain{depth}"), enough, depth + 1)
+        chain = stored(chain, f"chain{depth}")
+        deeper = suffix_ranks(chain, enough, depth + 1)
         deeper = deep.join(deeper.select(F.col("seq").alias("s2"), F.col("j").alias("j2"), F.col("rank").alias("rb")), ["s2", "j2"]).select("seq", "j", "rb")
         known = known.join(deeper, ["seq", "j"], "left").select("seq", "j", "ra", F.when(F.col("open"), F.coalesce("rb", long0)).otherwise(long0).alias("rb"))
     else:
@@ -189,7 +195,9 @@ def suffix_ranks(names: DataFrame, enough: int, depth: int = 0) -> DataFrame:
     for k in (1, 2):
         both = both.withColumns({f"a{k}": _next("ra", k), f"b{k}": _next("rb", k)})
     both = stored(both, f"merge{depth}")
-    settle(spark)
+    release(all_, decided)
+    if not depth:
+        settle(spark)
     one = _before(both.where("j % 3 <> 2"), f"one{depth}", "name", "a1", "b1", "seq", "j")
     two = _before(both.where("j % 3 <> 1"), f"two{depth}", "name", "n2", "a2", "b2", "seq", "j")
     rest = both.where("ra is null").join(one, ["seq", "j"]).join(two, ["seq", "j"])
@@ -197,29 +205,12 @@ def suffix_ranks(names: DataFrame, enough: int, depth: int = 0) -> DataFrame:
     rest = rest.select("seq", "j", last["a"].alias("ra"), last["b"].alias("rb"), F.lit(1).alias("behind"), "name", "a1", "b1")
     merged = both.where("ra is not null").select("seq", "j", "ra", "rb", F.lit(0).alias("behind"), long0.alias("name"), long0.alias("a1"), long0.alias("b1")).unionByName(rest)
     out = _ordered(merged, f"ranks{depth}", "ra", "rb", "behind", "name", "a1", "b1", "seq", "j").select("seq", "j", (F.col("at") + 1).alias("rank"))
-    settle(spark)
+    release(both, one, two)
+    if not depth:
+        settle(spark)
     return out
 
 
-def _border(window: int, gram: int):
-    """Spans of neighbours in suffix order, side by side in a row, that share ``window`` bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                n = 0
-                for x, y, size in zip(r["names"], r["names2"], r["sizes"], strict=False):
-                    if x != y or not x:
-                        break
-                    n += size
-                if n and n + gram >= window:
-                    out += [(r["row"], r["p"], n + gram), (r["row2"], r["p2"], n + gram)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["row", "p", "size"])
-
-    return run
-
-
 def _cut(window: int):
     """The texts that listed anchors' windows cover."""
 
@@ -310,21 +301,20 @@ def _ahead(enough: int):
     and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32)]
 
         def out(cols):
-            seq, j, name, cover, p = (c.tolist() for c in cols)
-            names, sizes = [], []
-            for i in range(len(seq)):
-                e, total = i + 1, cover[i]
-                while total < enough and e < len(seq) and seq[e] == seq[i] and j[e] == j[e - 1] + 1:
-                    total += cover[e]
-                    e += 1
-                names.append(name[i:e])
-                sizes.append(cover[i:e])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(seq, pa.int64()), pa.array(j, pa.int32()), pa.array(p, pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["seq", "j", "p", "names", "sizes"]
-            )
+            seq, j, name, cover, p = cols
+            n = len(seq)
+            new = np.r_[True, (seq[1:] != seq[:-1]) | (j[1:] != j[:-1] + 1)][:n]
+            first = np.flatnonzero(new)
+            stop = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n])) if n else first  # where the run ends
+            upto = np.cumsum(cover)
+            end = np.minimum(np.searchsorted(upto, upto - cover + enough) + 1, stop)
+            ends = np.r_[0, np.cumsum(end - np.arange(n))]
+            at = np.repeat(np.arange(n) - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[at])) for v in (name, cover.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(j), pa.array(p), *lists], ["seq", "j", "p", "names", "sizes"])
 
         for batch in batches:
             cols = [np.concatenate([a, batch.column(k).to_numpy(zero_copy_only=False)]) for a, k in zip(held, ("seq", "j", "name", "cover", "p"), strict=True)]
@@ -352,16 +342,20 @@ def _merged(df: DataFrame) -> DataFrame:
 def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     """``(doc, th, start, end)`` of bytes of ``src(doc, th, text)`` that repeated strings of ``window`` bytes cover."""
     spark = src.sparkSession
-    gram = window // 2
+    gram = window // 4
     doc = src.schema["doc"].dataType.simpleString()
     key = f"doc {doc}, th long"
     places = stored(src.mapInArrow(_scan(window, gram), f"{key}, row long, j int, p int, lo int, hi int, g long, c long, name long, length int"), "anchors")
     often = places.groupBy("g").agg(F.count("*").alias("times")).where("times > 1").select("g")
-    places = stored(places.join(often, "g"), "repeated")
+    often = stored(often, "often")  # a plain table, so that Spark may split this join where a string is very common
+    found = places
+    places = stored(found.join(often, "g"), "repeated")
+    release(found, often)
     settle(spark)
 
     # Suffix sort of the phrases that occur twice; a phrase that occurs once ends what any suffix can share.
     twice = places.where("name <> 0").groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
+    twice = stored(twice, "twice")
     phrases = stored(places.where("name <> 0").join(twice, "name").select(F.col("row").alias("seq"), "j", "name", F.col("length").cast("long").alias("cover"), "p"), "phrases")
     ranks = suffix_ranks(phrases.select("seq", "j", "name", "cover"), window - gram)
     ahead = phrases.repartition("seq").sortWithinPartitions("seq", "j").mapInArrow(_ahead(window - gram), "seq long, j int, p int, names array<bigint>, sizes array<int>")
@@ -371,10 +365,15 @@ def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     ends = order.groupBy("part").agg(F.min_by(own, "at").alias("x"), F.max_by(own, "at").alias("l"))  # one row for each part
     ends = ends.select("x", F.lag("l").over(Window.orderBy("part")).alias("y"))
     pairs = pairs.unionByName(ends).where(F.col("x.names")[0] == F.col("y.names")[0])
-    pairs = pairs.select("x.row", "x.p", "x.names", "x.sizes", F.col("y.row").alias("row2"), F.col("y.p").alias("p2"), F.col("y.names").alias("names2"))
-    found = pairs.mapInArrow(_border(window, gram), "row long, p int, size int")
+    # what two neighbours share: phrases up to the first that differs, and the string at the anchor behind them
+    same = F.zip_with("x.names", "y.names", lambda a, b: a.eqNullSafe(b))
+    equal = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+    size = F.aggregate(F.slice("x.sizes", F.lit(1), equal), F.lit(0), lambda a, n: a + n) + gram
+    pairs = pairs.withColumn("size", size).where(F.col("size") >= window)
+    found = pairs.select(F.explode(F.array("x", "y")).alias("z"), "size").select("z.row", "z.p", "size")
     spans = F.array_sort(F.collect_set(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("size")).alias("e"))))
     marked = stored(_merged(found.groupBy("row").agg(spans.alias("spans"))), "marked")
+    release(phrases, order)
     settle(spark)
 
     # Anchors with windows that no such span covers.
@@ -382,6 +381,7 @@ def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     left = places.join(marked, "row", "left").withColumn("covered", F.coalesce(covered, F.lit(False)))
     left = stored(left.select("doc", "th", "p", "lo", "hi", "g", "c", "covered"), "left")
     groups = left.groupBy("g").agg(F.bool_or(~F.col("covered")).alias("open")).where("open").select("g")
+    groups = stored(groups, "groups")
     kinds = left.join(groups, "g").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "p", "lo", "hi")).alias("one"))
     kinds = stored(kinds.select("g", "c", "n", "one.*"), "kinds")
     wanted = kinds.groupBy("doc", "th").agg(F.collect_list(F.struct("g", "c", "n", "p", "lo", "hi")).alias("wanted"))
