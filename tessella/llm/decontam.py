@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import ship, stored
+from tessella.llm._shared import lean, ship, stored
 
 #: Fixed value: bytes that words are made of, digits, lower-case letters and all beyond ASCII; A-Z count as a-z.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BLOCK_WORDS = 2_000_000  # words of a block of benchmark items
 SHINGLE = 3
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -219,14 +219,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     keys = ["doc_id", "row"] if several else ["doc_id"]
     for block in blocks:
         index = Index(sorted((r.item, bytes(r.text)) for r in block.collect()), window)  # bounded: one block
-        counts = src.select("text").mapInArrow(_counter(index), "k long, number long, n long").groupBy("k", "number").agg(F.sum("n").alias("n"))
+        counts = src.select("text").mapInArrow(lean(_counter(index)), "k long, number long, n long").groupBy("k", "number").agg(F.sum("n").alias("n"))
         index.choose({(r.k, r.number): r.n for r in counts.collect()})  # bounded: shingles of one block
         ddl = f"doc_id {kind}, " + ("row long, " if several else "") + "n_words long, spans array<long>, items array<string>"
-        found.append(src.mapInArrow(_matcher(index, keys), ddl))
+        found.append(src.mapInArrow(lean(_matcher(index, keys)), ddl))
     one = found[0]
     if several:
         for more in found[1:]:
             one = one.unionByName(more)
         one = one.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
-    out = one.mapInArrow(_summary, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
+    out = one.mapInArrow(lean(_summary), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

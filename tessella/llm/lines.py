@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import ship, stored
+from tessella.llm._shared import lean, ship, stored
 
 MIN_BYTES = 10  # shorter lines stay as they are
 MIN_WORDS = 8  # shorter lines are only compared whole
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(BASE, -1, 1 << 64)
 BROADCAST_ROWS = 400_000  # lists of line numbers by document: broadcast up to here, shuffled beyond
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 WHOLE, LEFT_OUT, PLACED = 0, 1, 2  # kinds of keys
 
 
@@ -162,7 +162,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ship(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text")).where("doc is not null")
-    lines = stored(src.mapInArrow(_lines, f"doc {kind}, line int, again boolean, h1 long, h2 long, keys array<bigint>"), "lines")
+    lines = stored(src.mapInArrow(lean(_lines), f"doc {kind}, line int, again boolean, h1 long, h2 long, keys array<bigint>"), "lines")
     firsts = lines.where("not again")
     several = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "m")
     several = stored(several, "several")  # a plain table, so that Spark may split this join where a line is very common
@@ -175,8 +175,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = stored(shared, "shared")
     picked = halves.join(shared, "key").select("doc", "line").distinct()
     lists = stored(picked.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("picked")), "picked")
-    texts = stored(_with_lists(src, lists, "inner").select("doc", "text", "picked").mapInArrow(_pick, f"doc {kind}, line int, flat binary").dropDuplicates(["doc", "line"]), "texts")
-    variants = texts.mapInArrow(_variants, f"k1 long, k2 long, kind byte, doc {kind}, line int")
+    texts = stored(_with_lists(src, lists, "inner").select("doc", "text", "picked").mapInArrow(lean(_pick), f"doc {kind}, line int, flat binary").dropDuplicates(["doc", "line"]), "texts")
+    variants = texts.mapInArrow(lean(_variants), f"k1 long, k2 long, kind byte, doc {kind}, line int")
     own = F.struct("doc", "line")
     # A whole line is near every line that becomes it with a word left out, but those are not all near one another; lines
     # that are equal but for the word at one place are.
@@ -185,7 +185,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     partner = F.when(F.col("kind") == WHOLE, F.col("d")).when(F.col("kind") == LEFT_OUT, F.col("w")).otherwise(F.col("p"))
     pairs = variants.join(first, ["k1", "k2"]).withColumn("e", partner).where(F.col("e") < own).select("doc", "line", F.col("e.doc").alias("doc2"), F.col("e.line").alias("line2")).distinct()
     other = texts.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("flat").alias("other"))
-    near_ones = pairs.join(texts, ["doc", "line"]).join(other, ["doc2", "line2"]).select("doc", "line", "flat", "other").mapInArrow(_verified, f"doc {kind}, line int")
+    near_ones = pairs.join(texts, ["doc", "line"]).join(other, ["doc2", "line2"]).select("doc", "line", "flat", "other").mapInArrow(lean(_verified), f"doc {kind}, line int")
     return copies.unionByName(near_ones).distinct()
 
 
@@ -215,4 +215,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             cols = [pa.array(texts, pa.string()) if c == text else part.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*kept, "n_lines", "n_removed"])
 
-    return whole.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return whole.mapInArrow(lean(run), T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import ship
+from tessella.llm._shared import lean, ship
 
 MARK = "▁"  # fixed value: stands for a space at the beginning of pieces
 OFFSET, SHARPNESS, FALLBACK = 100.0, 1.5, 1e-9
@@ -263,7 +263,7 @@ def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
                 ]
                 yield pa.RecordBatch.from_arrays(cols, [*kept, *(f.name for f in made)])
 
-    return src.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *made]))
+    return src.mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in kept), *made]))
 
 
 def decode(df: DataFrame, path: str, pieces: str = "pieces", column: str = "decoded") -> DataFrame:
@@ -277,4 +277,4 @@ def decode(df: DataFrame, path: str, pieces: str = "pieces", column: str = "deco
             got = [model.decode(np.array(p or [], np.int64)) for p in batch.column(pieces).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, pa.string())], [*kept, column])
 
-    return df.select(*df.columns).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(column, T.StringType())]))
+    return df.select(*df.columns).mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in kept), T.StructField(column, T.StringType())]))

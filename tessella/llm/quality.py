@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import ship
+from tessella.llm._shared import lean, ship
 from tessella.llm.toxicity import MAX_BYTES, sample
 
 PASSAGE = 64  # words
@@ -153,4 +153,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 cols = [part.column(c) for c in part.schema.names[:-1]]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(y.astype(float))], [*part.schema.names[:-1], column])
 
-    return src.mapInArrow(run, docs.drop(column).schema.add(column, "double"))
+    return src.mapInArrow(lean(run), docs.drop(column).schema.add(column, "double"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import components, ship, stored
+from tessella.llm._shared import components, lean, ship, stored
 
 BITS = 64
 SEED = 42  # fixed value
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
                 fps = np.array([fingerprint(t or b"", width) for t in part.column(1).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def masks(n: int, k: int) -> list[int]:
@@ -239,7 +239,7 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, k: int) -> DataFrame:
-    return rows.repartition("grp").sortWithinPartitions("grp", "side", "gray").select("grp", "side", "fp").mapInArrow(_link(k), "a long, b long")
+    return rows.repartition("grp").sortWithinPartitions("grp", "side", "gray").select("grp", "side", "fp").mapInArrow(lean(_link(k)), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, k: int = 3) -> DataFrame:

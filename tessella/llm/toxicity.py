@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import ship
+from tessella.llm._shared import lean, ship
 
 #: Fixed value: letters (ASCII in lower case, all bytes beyond it) stay, everything else parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 39 else 32 for b in range(256))
@@ -154,4 +154,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [*part.schema.names[:-1], column])
 
     schema = docs.drop(column).schema.add(column, "double")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
