@@ -25,7 +25,7 @@ ENTRIES, FIRST_BATCH, LAST_BATCH = 32, 64, 512
 def _prune(x: np.ndarray, points: np.ndarray, found: np.ndarray, degree: int) -> np.ndarray:
     """Of each point's candidates (rows of ``found``, -1: none), nearest first, those that no kept one is RELAX times
     nearer to; ``degree`` at most."""
-    size, width = found.shape
+    size = len(found)
     found = np.sort(np.where(found == points[:, None], -1, found), axis=1)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
     v = x[found]

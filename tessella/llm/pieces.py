@@ -106,7 +106,7 @@ class Lattice:
 
     def graph(self, words: list[str], best: bool = False) -> tuple[np.ndarray, ...]:
         """Filter words together. Nodes are their characters, side by side. Returned: the end node of each word; of each
-        node its first and last edge; of each edge the chance of it or an earlier edge of its node, the node where it
+        node its first edge; of each edge the chance of it or an earlier edge of its node, the node where it
         starts (-1: the word's beginning) and its piece (below zero: a character to be spelt in bytes)."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size)
@@ -171,7 +171,7 @@ class Lattice:
         if best:
             chance = np.minimum(chance, 1)
         chance[last] = 1.0
-        return end - 1, first, last, chance, start, piece
+        return end - 1, first, chance, start, piece
 
     def sample(self, texts: list[str], keys: list[int], best: bool = False) -> list[np.ndarray]:
         """A segmentation of each text."""
@@ -183,7 +183,7 @@ class Lattice:
             each += [number.setdefault(w, len(number)) for w in found]
         if not each:
             return [np.zeros(0, np.int64) for _ in texts]
-        end_node, first, last, chance, start, piece = self.graph(list(number), best)
+        end_node, first, chance, start, piece = self.graph(list(number), best)
         sizes = np.array(sizes, np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         begin = np.cumsum(sizes) - sizes

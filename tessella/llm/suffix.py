@@ -413,7 +413,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).select("doc", F.xxhash64("text").alias("th"), "text")
-    kind = docs.schema[doc_id].dataType.simpleString()
     spans = stored(repeated_spans(src, window), "spans")
     lists = stored(spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "lists")
     settle(spark)
