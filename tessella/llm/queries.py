@@ -122,8 +122,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_ESCAPED = r"regexp_replace(replace(text, '\\', '\\\\'), '([<\[])(\|im_start\|>|\|im_end\|>|/?s>|<SYS>>|</SYS>>|/?INST\])', '\1\\\2', 'g')"
+_LINE_WORDS = "regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
 #: DuckDB SQL of those that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
+    # conversations of the test tables have fewer turns than a block: windows are walked turn by turn
+    "op4_chat_format": f"""
+WITH RECURSIVE talk AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) AS tok, 24 + length(role) + length({_ESCAPED}) AS size FROM talk),
+p AS (SELECT *, CAST(sum(tok) OVER (PARTITION BY conv_id ORDER BY i) AS BIGINT) AS upto FROM t),
+lead AS (SELECT conv_id, tok AS lead_tok, size AS lead_size FROM t WHERE i = 0 AND role = 'system'),
+walk AS (SELECT conv_id, i, n, 0::BIGINT AS start, 0::BIGINT AS before FROM p WHERE i = 0
+  UNION ALL SELECT p.conv_id, p.i, p.n, CASE WHEN cut THEN p.i ELSE start END, CASE WHEN cut THEN p.upto - p.tok ELSE before END
+  FROM (SELECT w.*, p.upto - w.before > CASE WHEN w.start = 0 THEN 1024 ELSE 768 - coalesce(lead_tok, 0) END AS cut FROM walk w JOIN p ON p.conv_id = w.conv_id AND p.i = w.i + 1 LEFT JOIN lead ON lead.conv_id = w.conv_id) w JOIN p ON p.conv_id = w.conv_id AND p.i = w.i + 1),
+win AS (SELECT conv_id, start, any_value(before) AS before, max(i) AS last FROM walk GROUP BY conv_id, start),
+shown AS (SELECT w.conv_id, w.start, min(p.i) AS back, sum(p.size) AS size FROM win w JOIN p ON p.conv_id = w.conv_id AND p.i <= w.last AND (p.i >= w.start OR w.before - (p.upto - p.tok) <= 256) GROUP BY w.conv_id, w.start),
+chars AS (SELECT conv_id, CAST(sum(size + CASE WHEN back > 0 THEN coalesce(lead_size, 0) ELSE 0 END) AS BIGINT) AS formatted_chars FROM shown LEFT JOIN lead USING (conv_id) GROUP BY conv_id),
+said AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS learnt FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM said JOIN chars USING (conv_id)""",
+    "op7_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, CAST(2 * s + 1 AS BIGINT), 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS s FROM h WHERE length(x) >= 800)),
+r AS (SELECT doc_id, s FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+gone AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM gone),
+kept AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, max(b) AS last, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS front FROM cuts JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM h LEFT JOIN kept USING (doc_id)""",
+    "op8_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+f AS (SELECT doc_id, no, line, {_LINE_WORDS} AS w, array_to_string({_LINE_WORDS}, ' ') AS flat, doc_id * 1000000 + no AS place FROM l),
+d AS (SELECT flat, any_value(w) AS w, min(place) AS first FROM f WHERE strlen(flat) >= 10 GROUP BY flat),
+v AS (SELECT flat, first, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : len(w)]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 8)),
+near AS (SELECT a.flat FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND b.first < a.first
+  UNION SELECT a.flat FROM v a JOIN d b ON a.rest = b.flat AND len(b.w) >= 8 AND b.first < a.first UNION SELECT b.flat FROM v a JOIN d b ON a.rest = b.flat AND len(b.w) >= 8 AND a.first < b.first),
+gone AS (SELECT doc_id, no FROM f JOIN d USING (flat) WHERE place > first OR flat IN (SELECT flat FROM near)),
+left_ AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS kept FROM l ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id)
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN left_ USING (doc_id)""",
     "op5_benchmark_decontamination": f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s : s + 12], ' ') AS words FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM item WHERE len(w) > 0)),
