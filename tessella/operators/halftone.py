@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.assign import nearest_color
 from tessella.operators.density import disk_average
-from tessella.operators.palette import dominant_colors
+from tessella.operators.palette import ROUNDS, dominant_colors
 from tessella.params import Params
 
 #: Cyan, magenta, yellow, black.
@@ -28,9 +28,9 @@ def separate_cmyk(px: DataFrame, angles: tuple[float, ...]) -> DataFrame:
     return px.select("img_id", "w", "h", "x", "y", F.explode(F.array(*rows)).alias("c")).select("img_id", "w", "h", "x", "y", "c.*")
 
 
-def separate_dominant(px: DataFrame, n: int, base_angle_deg: float) -> DataFrame:
+def separate_dominant(px: DataFrame, n: int, base_angle_deg: float, rounds: int = ROUNDS) -> DataFrame:
     """The same for the ``n`` dominant colours; only a pixel's nearest colour has a row, others cover nothing."""
-    palette = dominant_colors(px, n)
+    palette = dominant_colors(px, n, rounds)
     near = nearest_color(px, palette)
     part = F.lit(1.0) - F.least(F.greatest(F.col("d2") / F.lit(255.0 * 255.0 * 1.5), F.lit(0.0)), F.lit(1.0))
     cover = F.least(F.greatest(part * 1.3, F.lit(0.0)), F.lit(1.0))

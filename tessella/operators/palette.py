@@ -66,9 +66,9 @@ def dominant_colors(px: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
     return truncated(refine(px.select("img_id", "r", "g", "b"), first, 1.0, rounds))
 
 
-def quantize_dots(dots: DataFrame, n: int) -> DataFrame:
+def quantize_dots(dots: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
     """Dots in their nearest palette colour; unchanged in images of ``n`` dots or fewer."""
-    palette = palette_of_dots(dots, n)
+    palette = palette_of_dots(dots, n, rounds)
     near = nearest_color(dots, palette).drop("palette_id", "d2").withColumns({c: F.col(f"p{c}") for c in "rgb"}).drop("pr", "pg", "pb")
     rest = dots.join(palette.select("img_id").distinct(), "img_id", "left_anti")
     return near.unionByName(rest)

@@ -262,3 +262,12 @@ SELECT x, y, {", ".join(f"v.{c} AS {c}" for c in cols.split(", "))} FROM done"""
 
 SVG = f"""WITH {DENSITY}, {grid(GRID20)} SELECT CAST(row_number() OVER (ORDER BY radius DESC, dot_id) AS INT) AS place,
 '  <circle cx="' || printf('%.1f', x) || '" cy="' || printf('%.1f', y) || '" r="' || printf('%.1f', radius) || '" fill="#' || printf('%02x%02x%02x', r, g, b) || '"/>' AS element FROM dots WHERE radius >= 0.5"""
+
+_NEAREST = "min_by({cols}, struct_pack(d := (c.r-p.r)*(c.r-p.r) + (c.g-p.g)*(c.g-p.g) + (c.b-p.b)*(c.b-p.b), i := palette_id))"
+_D2 = "min((c.r-p.r)*(c.r-p.r) + (c.g-p.g)*(c.g-p.g) + (c.b-p.b)*(c.b-p.b))"
+
+QUANTIZED = f"""SELECT dot_id, v.r AS r, v.g AS g, v.b AS b FROM (SELECT c.dot_id, {_NEAREST.format(cols="struct_pack(r := p.r, g := p.g, b := p.b)")} AS v
+FROM (WITH {DENSITY}, {grid(GRID8)} SELECT * FROM dots) c, ({palette_of_dots(2)}) p GROUP BY c.dot_id)"""
+
+SEPARATED = f"""SELECT x, y, channel, round(least(greatest((1 - least(greatest(d2 / (255.0::DOUBLE * 255.0 * 1.5), 0), 1)) * 1.3::DOUBLE, 0), 1), 6) AS coverage, channel * 36.0::DOUBLE + 15 AS angle
+FROM (SELECT c.x, c.y, CAST({_NEAREST.format(cols="palette_id")} AS INT) AS channel, {_D2} AS d2 FROM (WITH {CANVAS} SELECT * FROM canvas) c, ({dominant(2)}) p GROUP BY c.x, c.y)"""

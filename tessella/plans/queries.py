@@ -315,9 +315,9 @@ def distinct_colors(spark, sf_dir):
     return placement.grid_dots(detailed(spark, sf_dir), O.GRID20).agg(F.count("*").alias("n_dots"), F.countDistinct("r", "g", "b").alias("n_colors"))
 
 
-@query()
+@query(O.QUANTIZED)
 def quantize_dots(spark, sf_dir):
-    return palette.quantize_dots(small_dots(spark, sf_dir), 6).select("dot_id", "r", "g", "b")
+    return palette.quantize_dots(small_dots(spark, sf_dir), 6, rounds=2).select("dot_id", "r", "g", "b")
 
 
 @query(f"WITH {O.CANVAS}, {O.CMYK} SELECT x, y, channel, round(coverage, 9) AS coverage FROM planes")
@@ -325,9 +325,9 @@ def cmyk_separation(spark, sf_dir):
     return halftone.separate_cmyk(px(spark, sf_dir), Halftone().angles).select("x", "y", "channel", *r6("coverage", digits=9))
 
 
-@query()
+@query(O.SEPARATED)
 def dominant_separation(spark, sf_dir):
-    return halftone.separate_dominant(px(spark, sf_dir), 5, 15.0).select("x", "y", "channel", *r6("coverage"))
+    return halftone.separate_dominant(px(spark, sf_dir), 5, 15.0, rounds=2).select("x", "y", "channel", *r6("coverage"), "angle")
 
 
 def _screen(spark: SparkSession) -> DataFrame:
@@ -409,6 +409,17 @@ def ensure_extension(spark, sf_dir):
     return part.select("p_partkey", sinks.ensure_extension(given, "png").alias("path"))
 
 
+@query("SELECT * FROM (VALUES ('a.png', 5), ('b.JPG', 3)) t(name, length)")
+def img_list(spark, sf_dir):
+    """A folder's image files, by name; what is no image or lies deeper is left out."""
+    from tessella.sources.scratch import shared_folder
+
+    folder = shared_folder(spark, "listing")
+    rows = [("b.JPG", "abc"), ("a.png", "abcde"), ("c.txt", "x"), ("deep/d.png", "x")]
+    sinks.write_files(spark.createDataFrame([(f"{folder}/{n}", t) for n, t in rows], "path string, data string"), "path", "data")
+    return canvas.list_images(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").cast("int").alias("length"))
+
+
 @query()
 def write_png(spark, sf_dir):
     return sinks.encode_png(px(spark, sf_dir)).select("w", "h", F.length("png").alias("n_bytes"))
