@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessella.operators.assign import nearest_color
 from tessella.operators.density import disk_average
 from tessella.operators.palette import ROUNDS, dominant_colors
+from tessella.operators.sampling import INCREMENT, MULTIPLIER
 from tessella.params import Params
 
 #: Cyan, magenta, yellow, black.
@@ -58,6 +59,39 @@ def mixed(seed: int, *parts: Column) -> Column:
     return h / F.lit(2147483648.0)
 
 
+def _replayed(points: DataFrame, seed: int) -> DataFrame:
+    """Frequency screening with one generator for a channel, whose draws depend on what was drawn before: a channel of an
+    image is one task. Its points are bounded by the screen's frequency."""
+    import numpy as np
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["j", "i"])
+        one = frame.iloc[0]
+        color = int(one["r"]) << 40 | int(one["g"]) << 24 | int(one["b"])
+        state = (seed * 0x9E3779B97F4A7C15 + color) % (1 << 64)  # fixed value: the golden ratio in 64 bits
+
+        def draw() -> float:
+            nonlocal state
+            state = (state * MULTIPLIER + INCREMENT) % (1 << 64)
+            return (state >> 32) / 4294967295.0
+
+        keep, x, y, radius = [], [], [], []
+        for k, (cx, cy, step, mean, low, high) in enumerate(frame[["cx", "cy", "step", "mean", "low", "high"]].to_numpy()):
+            if draw() > mean:
+                continue
+            a, b = draw(), draw()
+            keep.append(k)
+            x.append(cx + (a - 0.5) * step * 0.4)
+            y.append(cy + (b - 0.5) * step * 0.4)
+            radius.append(low + (high - low) * (0.7 + 0.3 * draw()))
+        got = frame.iloc[keep][["img_id", "channel", "i", "j", "r", "g", "b"]]
+        return got.assign(x=np.array(x, float), y=np.array(y, float), radius=np.array(radius, float))[["img_id", "channel", "i", "j", "x", "y", "r", "g", "b", "radius"]]
+
+    schema = "img_id string, channel int, i int, j int, x double, y double, r int, g int, b int, radius double"
+    return points.groupBy("img_id", "channel").applyInPandas(run, schema)
+
+
 def screened(planes: DataFrame, p: Params) -> DataFrame:
     """Dots ``(img_id, channel, i, j, x, y, r, g, b, radius)`` of all channels."""
     images = planes.select("img_id", "w", "h", "channel", "r", "g", "b", "angle").distinct()
@@ -69,6 +103,9 @@ def screened(planes: DataFrame, p: Params) -> DataFrame:
         high = F.col("step") * F.lit(p.halftone_max_dot_ratio)
         at = at.where("mean > 0.005").withColumn("radius", low + (high - low) * F.col("mean"))
         at = at.withColumns({"x": F.col("cx"), "y": F.col("cy")})
+    elif p.screening == "fm-replay":
+        at = at.where("mean > 0.005").withColumns({"low": low, "high": F.col("step") * F.lit(p.halftone_max_dot_ratio * 0.5)})
+        at = _replayed(at.select("img_id", "channel", "i", "j", "cx", "cy", "r", "g", "b", "step", "mean", "low", "high"), p.rng_seed)
     else:
         high = F.col("step") * F.lit(p.halftone_max_dot_ratio * 0.5)
         u = [mixed(p.rng_seed, F.col("channel"), F.col("j"), F.col("i"), F.lit(k)) for k in range(4)]

@@ -7,6 +7,7 @@ import tomllib
 from dataclasses import asdict, dataclass, field, fields
 
 ALGORITHMS = ("grid", "kmeans", "voronoi", "quadtree", "halftone")
+SCREENINGS = ("am", "fm", "fm-replay")  # the last draws one after the other, the other by counters
 SHAPES = ("circle", "square", "ellipse", "polygon")
 MAX_SIDE, MAX_PIXELS = 65_535, 256 * 1024 * 1024  # fixed values
 
@@ -64,7 +65,7 @@ class Params:
 
         need(self.algorithm in ALGORITHMS, f"unknown algorithm {self.algorithm!r}")
         need(self.dot_shape.kind in SHAPES, f"unknown shape {self.dot_shape.kind!r}")
-        need(self.screening in ("am", "fm"), f"unknown screening {self.screening!r}")
+        need(self.screening in SCREENINGS, f"unknown screening {self.screening!r}")
         need(self.halftone.mode in ("off", "cmyk", "dominant"), f"unknown halftone mode {self.halftone.mode!r}")
         need(self.num_points > 0, "num_points must be positive")
         need(self.cols > 0, "cols must be positive")
@@ -139,8 +140,8 @@ def parse_halftone(s: str) -> Halftone:
 
 
 def parse_screening(s: str) -> str:
-    if s.lower() not in ("am", "fm"):
-        raise ValueError(f"not a screening: {s!r}; use am or fm")
+    if s.lower() not in SCREENINGS:
+        raise ValueError(f"not a screening: {s!r}; use {', '.join(SCREENINGS)}")
     return s.lower()
 
 

@@ -181,6 +181,29 @@ def test_halftone_inks(spark):
         rendering.apply(px, Params(algorithm="halftone"))
 
 
+def test_replayed_screening(spark, sf_dir):
+    from dataclasses import replace
+
+    p = Params(algorithm="halftone", halftone=Halftone("cmyk"), halftone_frequency=12.0, rng_seed=5)
+    planes = halftone.separate_cmyk(canvas.table_canvas(spark, sf_dir), p.halftone.angles)
+    am = halftone.screened(planes, replace(p, halftone_min_radius_ratio=1.0, halftone_max_dot_ratio=0.0))  # radius tells the mean
+    got = halftone.screened(planes, replace(p, screening="fm-replay")).collect()
+    want = []
+    for channel in range(4):
+        points = sorted(am.where(F.col("channel") == channel).collect(), key=lambda r: (r.j, r.i))
+        ink, means = halftone.INKS[channel], [(48 - r.radius) / 48 for r in points]
+        state = (5 * 0x9E3779B97F4A7C15 + (ink[0] << 40 | ink[1] << 24 | ink[2])) % (1 << 64)
+        at = iter(sampling.lcg_states(state, np.arange(1, 4 * len(points) + 1)).tolist())
+        draw = lambda at=at: (next(at) >> 32) / 4294967295.0
+        for r, mean in zip(points, means, strict=True):
+            if draw() <= mean:
+                dx, dy, u = draw(), draw(), draw()
+                radius = 0.096 + (1.7 - 0.096) * (0.7 + 0.3 * u)
+                if radius >= 0.5:
+                    want.append((channel, r.i, r.j, round(r.x + (dx - 0.5) * 1.6, 6), round(r.y + (dy - 0.5) * 1.6, 6), round(radius, 6)))
+    assert sorted((r.channel, r.i, r.j, round(r.x, 6), round(r.y, 6), round(r.radius, 6)) for r in got) == sorted(want)
+
+
 def test_coverage_is_bounded_and_whole_inside(spark):
     dots = spark.createDataFrame([("0", 0, 10.0, 8.0, 1, 2, 3, 4.0)], "img_id string, dot_id long, x double, y double, r int, g int, b int, radius double")
     size = spark.createDataFrame([("0", 20, 16)], "img_id string, w int, h int")
