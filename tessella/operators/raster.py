@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.geometry import coverage, inside, reach
 from tessella.params import Shape
 
+TILE = 64  # pixels along a side of what one task draws at a time
+
 
 def dot_coverage(dots: DataFrame, sizes: DataFrame, shape: Shape) -> DataFrame:
     """A row for each pixel that a dot covers, with ``cov`` in sixteenths. ``sizes(img_id, w, h)``; the canvas bounds the
@@ -27,69 +29,125 @@ def painter_order(dots: DataFrame) -> DataFrame:
     return dots.withColumn("place", F.row_number().over(Window.partitionBy("img_id").orderBy(F.desc("radius"), "dot_id")))
 
 
-def _layers(cover: DataFrame, *order: Column) -> DataFrame:
-    """The layers over each pixel in order."""
-    layer = F.struct(*order, F.col("cov"), *(F.col(c) for c in "rgb"))
-    return cover.groupBy("img_id", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sort_array(F.collect_list(layer)).alias("layers"))
-
-
-def _canvas(sizes: DataFrame) -> DataFrame:
-    rows = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-
-
-def _byte(v: Column) -> Column:
-    return F.least(F.floor(v), F.lit(255)).cast("int")
-
-
-def _over(a: Column, layer: Column, c: str) -> Column:
-    part = layer["cov"] / F.lit(16.0)
-    return F.when(layer["cov"] == 16, layer[c]).otherwise(_byte(a * (F.lit(1.0) - part) + layer[c] * part + 0.5))
-
-
-def _each(blend, c: str):
-    return lambda a, layer: blend(a, layer, c)
+def _numpy_inside(shape: Shape, r: float, x, y):
+    """The same tests as ``geometry.inside``, for arrays of offsets."""
+    import math
+
+    import numpy as np
+
+    if shape.kind == "circle":
+        return x * x + y * y <= r * r
+    if shape.kind == "square":
+        return (np.abs(x) <= r) & (np.abs(y) <= r)
+    if shape.kind == "ellipse":
+        minor = max(r / max(shape.aspect, 0.01), 1.0)
+        c, s = math.cos(math.radians(shape.angle_deg)), math.sin(math.radians(shape.angle_deg))
+        return ((x * c + y * s) / r) ** 2 + ((y * c - x * s) / minor) ** 2 <= 1.0
+    n = max(shape.sides, 3)
+    sector = 2 * math.pi / n
+    d = np.sqrt(x * x + y * y)
+    turn = np.mod(np.arctan2(y, x), sector) - sector / 2
+    return (d <= r) & ((d == 0) | (d <= r * math.cos(math.pi / n) / np.abs(np.cos(turn))))
+
+
+def _covered(shape: Shape, r: float, x, y):
+    """Sixteenths of the pixels whose left and upper edges have offsets ``x`` and ``y`` from the dot."""
+    import numpy as np
+
+    def test(steps):
+        gx = (x[:, None] + steps).ravel()
+        gy = (y[:, None] + steps).ravel()
+        n = len(steps)
+        return _numpy_inside(shape, r, gx[None, :], gy[:, None]).reshape(len(y), n, len(x), n)
+
+    corner = test(np.array([0.0, 1.0]))
+    middle = test(np.array([0.5]))[:, 0, :, 0]
+    count = test((np.arange(4) + 0.5) / 4).sum((1, 3))
+    return np.where(corner.all((1, 3)), 16, np.where(corner.any((1, 3)) | middle, count, 0))
+
+
+def _painted(dots: DataFrame, sizes: DataFrame, shape: Shape, start: tuple[int, ...], blend, by_size: bool) -> DataFrame:
+    """Pixels of all images, dots laid on one by one. Dots meet tiles of ``TILE`` by ``TILE`` pixels, so what is shuffled
+    is dots, times the few tiles that each touches, and no pixels; a tile is drawn with arrays."""
+    import numpy as np
+    import pandas as pd
+
+    names = list("rgba")[: len(start)]
+    span = lambda lo, hi: F.sequence(F.floor(lo / TILE).cast("int"), F.floor(hi / TILE).cast("int"))
+    tiles = sizes.withColumn("ty", F.explode(span(F.lit(0), F.col("h") - 1))).withColumn("tx", F.explode(span(F.lit(0), F.col("w") - 1)))
+    d = dots.where("radius > 0").join(sizes, "img_id").withColumn("reach", reach(shape, F.col("radius")))
+    low = lambda c: F.greatest(F.ceil(F.col(c) - F.col("reach")), F.lit(0))
+    high = lambda c, side: F.least(F.floor(F.col(c) + F.col("reach")), F.col(side) - 1)
+    d = d.withColumns({"x0": low("x"), "x1": high("x", "w"), "y0": low("y"), "y1": high("y", "h")}).where("x0 <= x1 and y0 <= y1")
+    d = d.withColumn("ty", F.explode(span(F.col("y0"), F.col("y1")))).withColumn("tx", F.explode(span(F.col("x0"), F.col("x1"))))
+    d = d.select("img_id", "tx", "ty", "dot_id", "x", "y", "r", "g", "b", "radius", "x0", "x1", "y0", "y1")
+
+    def run(tile: pd.DataFrame, on: pd.DataFrame) -> pd.DataFrame:
+        if not len(tile):
+            return pd.DataFrame({c: [] for c in ("img_id", "w", "h", "x", "y", *names)})
+        t = tile.iloc[0]
+        left, top = int(t["tx"]) * TILE, int(t["ty"]) * TILE
+        cols, rows = min(TILE, int(t["w"]) - left), min(TILE, int(t["h"]) - top)
+        out = np.empty((rows, cols, len(start)), np.int64)
+        out[:] = start
+        on = on.assign(size=-on["radius"]).sort_values(["size", "dot_id"] if by_size else ["dot_id"])
+        for cx, cy, r, g, b, radius, x0, x1, y0, y1 in on[["x", "y", "r", "g", "b", "radius", "x0", "x1", "y0", "y1"]].itertuples(index=False):
+            xs, ys = np.arange(max(x0, left), min(x1, left + cols - 1) + 1), np.arange(max(y0, top), min(y1, top + rows - 1) + 1)
+            if not len(xs) or not len(ys):
+                continue
+            cov = _covered(shape, radius, xs - 0.5 - cx, ys - 0.5 - cy)
+            part = out[ys[0] - top : ys[-1] - top + 1, xs[0] - left : xs[-1] - left + 1]
+            part[:] = np.where(cov[..., None] > 0, blend(part, cov, np.array([r, g, b])), part)
+        y, x = np.indices((rows, cols))
+        got = {"img_id": t["img_id"], "w": int(t["w"]), "h": int(t["h"]), "x": x.ravel() + left, "y": y.ravel() + top}
+        return pd.DataFrame(got | {c: out[..., i].ravel() for i, c in enumerate(names)})
+
+    schema = "img_id string, w int, h int, x int, y int, " + ", ".join(f"{c} int" for c in names)
+    d = d.toDF(*d.columns)  # columns of its own: both sides may come from one table
+    return tiles.groupBy("img_id", "tx", "ty").cogroup(d.groupBy("img_id", "tx", "ty")).applyInPandas(run, schema)
 
 
 def render(dots: DataFrame, sizes: DataFrame, shape: Shape, bg: tuple[int, int, int]) -> DataFrame:
     """Pixels ``(img_id, w, h, x, y, r, g, b)``: dots laid over the background one by one, rounded after each."""
-    drawn = _layers(dot_coverage(dots, sizes, shape), -F.col("radius"), F.col("dot_id"))
-    at = _canvas(sizes).join(drawn, ["img_id", "x", "y"], "left")
-    none = F.col("layers").isNull()
-    out = {c: F.when(none, F.lit(v)).otherwise(F.aggregate("layers", F.lit(v), _each(_over, c))) for c, v in zip("rgb", bg, strict=True)}
-    return at.withColumns(out).drop("layers")
+    import numpy as np
+
+    def blend(a, cov, c):
+        part = cov[..., None] / 16.0
+        return np.where(part == 1, c, np.minimum(np.floor(a * (1.0 - part) + c * part + 0.5), 255))
+
+    return _painted(dots, sizes, shape, bg, blend, True)
 
 
 def render_rgba(dots: DataFrame, sizes: DataFrame, shape: Shape, bg: tuple[int, int, int], transparent: bool) -> DataFrame:
     """The same with ``a``: on a transparent background dots keep their colour and only add opacity."""
-    drawn = _layers(dot_coverage(dots, sizes, shape), -F.col("radius"), F.col("dot_id"))
-    at = _canvas(sizes).join(drawn, ["img_id", "x", "y"], "left")
-    start = F.struct(*(F.lit(v).alias(c) for c, v in zip("rgb", bg, strict=True)), F.lit(0 if transparent else 255).alias("a"))
+    import numpy as np
 
-    def blend(acc: Column, s: Column) -> Column:
-        src, dst = s["cov"] / F.lit(16.0), acc["a"] / F.lit(255.0)
-        alpha = src + dst * (F.lit(1.0) - src)
-        mix = lambda c: F.when(s["cov"] == 16, s[c]).otherwise(_byte((s[c] * src + acc[c] * dst * (F.lit(1.0) - src)) / alpha + 0.5))
-        return F.struct(*(mix(c).alias(c) for c in "rgb"), F.when(s["cov"] == 16, 255).otherwise(_byte(alpha * 255.0 + 0.5)).alias("a"))
+    def blend(a, cov, c):
+        src, dst = cov / 16.0, a[..., 3] / 255.0
+        alpha = src + dst * (1.0 - src)
+        with np.errstate(invalid="ignore", divide="ignore"):  # places that the dot does not touch
+            mixed = np.floor((c * src[..., None] + a[..., :3] * dst[..., None] * (1.0 - src[..., None])) / alpha[..., None] + 0.5)
+        color = np.where(src[..., None] == 1, c, np.minimum(np.nan_to_num(mixed), 255))
+        return np.concatenate([color, np.where(src == 1, 255, np.minimum(np.floor(alpha * 255.0 + 0.5), 255))[..., None]], 2)
 
-    got = at.withColumn("p", F.when(F.col("layers").isNull(), start).otherwise(F.aggregate("layers", start, blend)))
-    return got.select("img_id", "w", "h", "x", "y", "p.*")
+    return _painted(dots, sizes, shape, (*bg, 0 if transparent else 255), blend, True)
 
 
 def render_multiply(dots: DataFrame, sizes: DataFrame, shape: Shape, paper: tuple[int, int, int], transparent: bool) -> DataFrame:
     """Inks multiplied onto paper in the order of their numbers; a transparent paper is white without opacity."""
-    drawn = _layers(dot_coverage(dots, sizes, shape), F.col("dot_id"))
-    at = _canvas(sizes).join(drawn, ["img_id", "x", "y"], "left")
-    paper = (255, 255, 255) if transparent else paper
-    none = F.col("layers").isNull()
-
-    def ink(a: Column, s: Column, c: str) -> Column:
-        part = s["cov"] / F.lit(16.0)
-        some = _byte(a * (F.lit(1.0) - part + part * (s[c] / F.lit(255.0))) + 0.5)
-        return F.when(s["cov"] == 16, F.floor(a * s[c] / 255).cast("int")).otherwise(some)
-
-    out = {c: F.when(none, F.lit(v)).otherwise(F.aggregate("layers", F.lit(v), _each(ink, c))) for c, v in zip("rgb", paper, strict=True)}
-    return at.withColumns(out).withColumn("a", F.when(none, 0 if transparent else 255).otherwise(255)).drop("layers")
+    import numpy as np
+
+    def blend(a, cov, c):
+        part = cov[..., None] / 16.0
+        some = np.minimum(np.floor(a[..., :3] * (1.0 - part + part * (c / 255.0)) + 0.5), 255)
+        color = np.where(part == 1, a[..., :3] * c // 255, some)
+        return np.concatenate([color, np.full((*cov.shape, 1), 255)], 2)
+
+    return _painted(dots, sizes, shape, (*((255, 255, 255) if transparent else paper), 0 if transparent else 255), blend, False)
+
+
+def _byte(v: Column) -> Column:
+    return F.least(F.floor(v), F.lit(255)).cast("int")
 
 
 def downscale(px: DataFrame, max_w: int, max_h: int) -> DataFrame:

@@ -212,6 +212,15 @@ def test_coverage_is_bounded_and_whole_inside(spark):
         assert got[10, 8] == 16 and all(1 <= c <= 16 for c in got.values())
 
 
+@pytest.mark.parametrize("shape", [Shape(), Shape("square"), Shape("ellipse", 2.0, 20.0), Shape("polygon", sides=5)])
+def test_drawn_tiles_show_the_listed_coverage(spark, shape):
+    dots = spark.createDataFrame([("0", 0, 63.3, 64.2, 10, 20, 30, 9.0), ("0", 1, 140.0, 3.0, 1, 2, 3, 5.0)], "img_id string, dot_id long, x double, y double, r int, g int, b int, radius double")
+    size = spark.createDataFrame([("0", 150, 90)], "img_id string, w int, h int")
+    want = {(r.px, r.py): int(255 * (1 - r.cov / 16) + r.r * r.cov / 16 + 0.5) if r.cov < 16 else r.r for r in raster.dot_coverage(dots, size, shape).collect()}
+    got = raster.render(dots, size, shape, (255, 255, 255)).collect()
+    assert len(got) == 150 * 90 and {(r.x, r.y): r.r for r in got if r.r != 255} == {k: v for k, v in want.items() if v != 255}
+
+
 def test_transparent_svg_and_background(spark):
     px = canvas.checkerboard(spark, 20, 16)
     p = Params(algorithm="grid", cols=5, bg_color=(16, 32, 48))
