@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.color import luminance
@@ -136,38 +136,51 @@ def kmeans_dots(px: DataFrame, p: Params, progress: Progress | None = None, canc
 
 
 def quadtree_leaves(px: DataFrame, p: Params) -> DataFrame:
-    """``(img_id, path, x0, y0, nw, nh, r, g, b, variance)``: rectangles split in four until they are even or small.
+    """``(img_id, w, h, path, x0, y0, nw, nh, r, g, b, variance)``: rectangles split in four until they are even or small.
 
-    All nodes of a level are decided by one aggregate over the pixels that are still in open nodes; a pixel finds its
-    part by comparing with the middle. Paths of digits 0 to 3 sort as the tree is walked.
+    Where a rectangle splits follows from the image's size alone, so a pixel knows its smallest rectangle at once. Sums
+    are taken over these and then added up for all rectangles around them; leaves are the rectangles that are even or
+    small and lie in no other such. Paths of digits 0 to 3 sort as the tree is walked.
     """
     threshold = 800.0 * (1.0 - 0.8 * p.variance_sensitivity)
-    smallest = F.greatest(F.floor(F.floor(F.sqrt(F.col("w") * F.col("h") / F.lit(float(p.num_points)))) / 2), F.lit(2))
-    level = px.select("img_id", "w", "h", "x", "y", "r", "g", "b", F.lit("").alias("path"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("w").alias("nw"), F.col("h").alias("nh"))
-    out = None
-    node = ["img_id", "w", "h", "path", "x0", "y0", "nw", "nh"]
-    for _ in range(17):  # sides are at most 2 ** 16
-        s = level.groupBy(*node).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(f"s{c}") for c in "rgb"), *(F.sum((F.col(c) * F.col(c)).cast("long")).alias(f"q{c}") for c in "rgb"))
-        s = s.withColumns({c: F.floor(F.col(f"s{c}") / F.col("n")).cast("int") for c in "rgb"})
-        far = [F.col(f"q{c}") - F.col(c) * F.col(f"s{c}") * 2 + F.col("n") * F.col(c) * F.col(c) for c in "rgb"]
-        s = s.withColumn("variance", (far[0] + far[1] + far[2]).cast("double") / F.col("n"))
-        leaf = (F.col("nw") == 1) | (F.col("nh") == 1) | (F.col("variance") < threshold) | (F.col("nw") <= smallest) | (F.col("nh") <= smallest)
-        s = cut_lineage(s.withColumn("leaf", leaf))
-        done = s.where("leaf").select("img_id", "w", "h", "path", "x0", "y0", "nw", "nh", "r", "g", "b", "variance")
-        out = done if out is None else out.unionByName(done)
-        open_ = s.where("not leaf").select("img_id", "path")
-        if not open_.head(1):
-            return out
-        half_w, half_h = F.floor(F.col("nw") / 2).cast("int"), F.floor(F.col("nh") / 2).cast("int")
-        east, south = F.col("x") >= F.col("x0") + half_w, F.col("y") >= F.col("y0") + half_h
-        level = level.join(open_, ["img_id", "path"], "left_semi").select(
-            "img_id", "w", "h", "x", "y", "r", "g", "b",
-            F.concat("path", (F.when(south, 2).otherwise(0) + F.when(east, 1).otherwise(0)).cast("string")).alias("path"),
-            F.when(east, F.col("x0") + half_w).otherwise(F.col("x0")).alias("x0"), F.when(south, F.col("y0") + half_h).otherwise(F.col("y0")).alias("y0"),
-            F.when(east, F.col("nw") - half_w).otherwise(half_w).alias("nw"), F.when(south, F.col("nh") - half_h).otherwise(half_h).alias("nh"),
+    smallest = F.greatest(F.floor(F.floor(F.sqrt(F.col("w") * F.col("h") / F.lit(float(p.num_points)))) / 2), F.lit(2)).cast("int")
+    whole = F.struct(F.lit("").alias("path"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("w").alias("nw"), F.col("h").alias("nh"))
+
+    def small(n) -> Column:
+        return (n["nw"] <= F.col("smallest")) | (n["nh"] <= F.col("smallest"))
+
+    def part(n, east: Column, south: Column) -> Column:
+        half_w, half_h = F.floor(n["nw"] / 2).cast("int"), F.floor(n["nh"] / 2).cast("int")
+        digit = F.when(south, 2).otherwise(0) + F.when(east, 1).otherwise(0)
+        return F.struct(
+            F.concat(n["path"], digit.cast("string")).alias("path"), F.when(east, n["x0"] + half_w).otherwise(n["x0"]).alias("x0"), F.when(south, n["y0"] + half_h).otherwise(n["y0"]).alias("y0"),
+            F.when(east, n["nw"] - half_w).otherwise(half_w).alias("nw"), F.when(south, n["nh"] - half_h).otherwise(half_h).alias("nh"),
         )
-        level = cut_lineage(level)
-    raise ValueError("the image is larger than any that is allowed")
+
+    def towards_pixel(n, _) -> Column:
+        east, south = F.col("x") >= n["x0"] + F.floor(n["nw"] / 2), F.col("y") >= n["y0"] + F.floor(n["nh"] / 2)
+        return F.when(small(n), n).otherwise(part(n, east, south))
+
+    def along_path(n, i) -> Column:
+        digit = F.substring(F.col("path"), i, F.lit(1)).cast("int")
+        return part(n, digit % 2 == 1, digit >= 2)
+
+    at = px.withColumn("smallest", smallest)
+    deep = at.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(16)), whole, towards_pixel)["path"])  # sides are below 2 ** 16
+    values = {"n": F.count("*")} | {f"s{c}": F.sum(F.col(c).cast("long")) for c in "rgb"} | {f"q{c}": F.sum((F.col(c) * F.col(c)).cast("long")) for c in "rgb"}
+    keys = ["img_id", "w", "h", "smallest"]
+    ends = deep.groupBy(*keys, "path").agg(*(v.alias(k) for k, v in values.items()))
+    around = ends.withColumn("depth", F.explode(F.sequence(F.lit(0), F.length("path")))).withColumn("path", F.substring("path", F.lit(1), F.col("depth")))
+    node = around.groupBy(*keys, "path").agg(*(F.sum(k).alias(k) for k in values))
+    steps = F.when(F.length("path") > 0, F.sequence(F.lit(1), F.length("path"))).otherwise(F.expr("cast(array() as array<int>)"))
+    node = node.withColumn("at", F.aggregate(steps, whole, along_path)).withColumns({c: F.floor(F.col(f"s{c}") / F.col("n")).cast("int") for c in "rgb"})
+    far = [F.col(f"q{c}") - F.col(c) * F.col(f"s{c}") * 2 + F.col("n") * F.col(c) * F.col(c) for c in "rgb"]
+    node = node.withColumn("variance", (far[0] + far[1] + far[2]).cast("double") / F.col("n"))
+    even = cut_lineage(node.where(small(F.col("at")) | (F.col("variance") < threshold)).select("img_id", "w", "h", "path", "at.x0", "at.y0", "at.nw", "at.nh", "r", "g", "b", "variance"))
+    above = even.where(F.length("path") > 0).select("img_id", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda i: F.substring(F.col("path"), F.lit(1), i))).alias("outer"))
+    outer = even.select(F.col("img_id").alias("o"), F.col("path").alias("outer"))
+    covered = above.join(outer, (F.col("img_id") == F.col("o")) & (above["outer"] == outer["outer"]), "left_semi").select("img_id", "path").distinct()
+    return even.join(covered, ["img_id", "path"], "left_anti").select(*even.columns)
 
 
 def quadtree_dots(px: DataFrame, p: Params) -> DataFrame:
