@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TILE = 256  # pixels along a side of what one task works on at a time
+TILE = 128  # pixels along a side of what one task works on at a time
 
 
 def nearest_seed(px: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -93,15 +93,12 @@ def tiled_sums(px: DataFrame, centers: DataFrame, feature: Callable[[pd.DataFram
         cen = cen.sort_values("center_id")
         f, c = feature(pix), feature(cen)
         best = np.empty(len(f), np.int64)
-        for at in range(0, len(f), 4096):
-            d = np.zeros((len(f[at : at + 4096]), len(c)))
-            for k in range(f.shape[1]):
-                d += (f[at : at + 4096, k, None] - c[None, :, k]) ** 2
-            best[at : at + 4096] = d.argmin(1)
-        total = np.zeros((len(c), len(names)))
-        np.add.at(total, best, sums(pix))
+        size = (c * c).sum(1)  # the squared distance less the pixel's own part, which all centres share
+        for at in range(0, len(f), 2048):
+            best[at : at + 2048] = (size - 2 * (f[at : at + 2048] @ c.T)).argmin(1)
+        each = sums(pix)
         n = np.bincount(best, minlength=len(c))
-        got = pd.DataFrame(total, columns=names).assign(n=n, center_id=cen["center_id"].to_numpy(), img_id=pix["img_id"].iloc[0])
+        got = pd.DataFrame({k: np.bincount(best, weights=each[:, i], minlength=len(c)) for i, k in enumerate(names)}).assign(n=n, center_id=cen["center_id"].to_numpy(), img_id=pix["img_id"].iloc[0])
         return got[got["n"] > 0][["img_id", "center_id", *names, "n"]]
 
     schema = f"img_id string, center_id long, {', '.join(f'{c} double' for c in names)}, n long"
