@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
+ROWS_PER_FILE = 250_000
 _made: dict[str, list[str]] = {}
 
 
@@ -45,9 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: later steps start from files, so a lost
-    executor costs a task and not the whole lineage. The files go when the application ends."""
+    executor costs a task and not the whole lineage. The files go when the application ends. ``rows``, if a bound is known, keeps
+    small tables from being many files: one for each ``ROWS_PER_FILE`` rows."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     spark = df.sparkSession
     sc = spark.sparkContext
     top = f"{shared_dir(spark)}/tessella-{sc.applicationId}"
@@ -101,14 +105,15 @@ def fold_of(doc_id: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``; root is the component's least node.
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
+    """Connected components of ``edges(a, b)`` as ``(node, root)``; root is the component's least node; ``rows`` is a
+    bound on the edges, if one is known.
 
     Alternating large-star and small-star rounds. Each round is joins on a node with that node's minimum, which is
     pre-aggregated map-side, and no node's neighbours are gathered in one row. Rounds end when the edges stay the same.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = stored(e, "edges")
+    e = stored(e, "edges", rows)
     mark = None
     if not e.head(1):
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -120,12 +125,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("p")
         )
-        last, e = e, stored(small.select("p.a", "p.b").where("a <> b").distinct(), "edges")
+        last, e = e, stored(small.select("p.a", "p.b").where("a <> b").distinct(), "edges", rows)
         release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
+        rows = now[0]  # rounds do not make edges
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -151,10 +151,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Documents with their list of line numbers; the lists are broadcast only if they are few."""
-    few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = docs.count() <= BROADCAST_ROWS  # there is a list for a document at most
+    if not few:
+        lists = stored(lists, "lists")
+        few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(lists) if few else lists, "doc", how)
 
 
+def _flipped(*names: str) -> list:
+    return [F.bitwise_not(c).alias(f"k{i}") for i, c in enumerate(names, 1)]
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, line)``: lines, counted from 0, that an earlier one equals but for one word; earlier by ``doc_id``, then by
     place in the document."""
@@ -163,19 +170,21 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kind = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text")).where("doc is not null")
     lines = stored(src.mapInArrow(lean(_lines), f"doc {kind}, line int, again boolean, h1 long, h2 long, keys array<bigint>"), "lines")
+    n = lines.count()
     firsts = lines.where("not again")
     several = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "m")
-    several = stored(several, "several")  # a plain table, so that Spark may split this join where a line is very common
-    told = firsts.join(several, ["h1", "h2"], "left")
-    told = stored(told.select("doc", "line", "keys", "h1", F.coalesce(F.col("doc") > F.col("m"), F.lit(False)).alias("copy")), "told")
+    # The join is on other values than the aggregate, so that both sides are dealt anew and Spark may split the rows of a
+    # very common line.
+    several = several.select(*_flipped("h1", "h2"), "m")
+    told = firsts.withColumns({"k1": F.bitwise_not("h1"), "k2": F.bitwise_not("h2")}).join(several, ["k1", "k2"], "left")
+    told = stored(told.select("doc", "line", "keys", "h1", F.coalesce(F.col("doc") > F.col("m"), F.lit(False)).alias("copy")), "told", n)
     copies = lines.where("again").select("doc", "line").unionByName(told.where("copy").select("doc", "line"))
 
     halves = told.where("not copy").select("doc", "line", "h1", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    shared = stored(shared, "shared")
-    picked = halves.join(shared, "key").select("doc", "line").distinct()
-    lists = stored(picked.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("picked")), "picked")
-    texts = stored(_with_lists(src, lists, "inner").select("doc", "text", "picked").mapInArrow(lean(_pick), f"doc {kind}, line int, flat binary").dropDuplicates(["doc", "line"]), "texts")
+    shared = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(F.bitwise_not("key").alias("k1"))
+    picked = halves.withColumn("k1", F.bitwise_not("key")).join(shared, "k1").select("doc", "line").distinct()
+    lists = picked.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("picked"))
+    texts = stored(_with_lists(src, lists, "inner").select("doc", "text", "picked").mapInArrow(lean(_pick), f"doc {kind}, line int, flat binary").dropDuplicates(["doc", "line"]), "texts", 2 * n)
     variants = texts.mapInArrow(lean(_variants), f"k1 long, k2 long, kind byte, doc {kind}, line int")
     own = F.struct("doc", "line")
     # A whole line is near every line that becomes it with a word left out, but those are not all near one another; lines
@@ -201,7 +210,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = repeated_lines(docs, doc_id, text).groupBy("doc").agg(F.collect_list("line").alias("__gone"))
     src = docs.select(*kept, F.col(doc_id).alias("doc"))
-    whole = _with_lists(src, stored(gone, "lists"), "left").select(*kept, "__gone")
+    whole = _with_lists(src, gone, "left").select(*kept, "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):

@@ -232,13 +232,14 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", seed: int = 0, best: bool = False, pieces: bool = True) -> DataFrame:
+def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", seed: int = 0, best: bool = False, pieces: bool = True, slice_bytes: int = 2 << 20) -> DataFrame:
     """``df`` with ``pieces`` (ids; only if asked for), ``n_pieces``, ``pieces_sha256`` (of the ids as four bytes each, least first) and
     ``lossless``, whether decoding the pieces gives the text back.
 
     Null and empty texts have no pieces and decode to the empty text. Rows keep their number and order; rows with equal
     key and text have equal pieces, a null key counts as the empty string; a column named like one that is made is
-    replaced. Words of over ``LONGEST`` characters are cut there. No shuffle; a worker holds one slice of a batch.
+    replaced. Words of over ``LONGEST`` characters are cut there. No shuffle; a worker holds the lattice of one slice of
+    ``slice_bytes``, and larger slices share more words.
     """
     ship(df.sparkSession)
     made = ([T.StructField("pieces", T.ArrayType(T.IntegerType()))] if pieces else []) + [T.StructField("n_pieces", T.LongType()), T.StructField("pieces_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
@@ -248,7 +249,7 @@ def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for batch in batches:
-            step = max(1, min(1000, batch.num_rows * (2 << 20) // max(batch.nbytes, 1)))
+            step = max(1, min(1000, batch.num_rows * slice_bytes // max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 texts = [t or "" for t in part.column("__text").to_pylist()]

@@ -202,6 +202,7 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
     ship(spark)
     n = codes.count()
     kept = masks(n, k)
+    members = n * len(kept)
     member = codes.select(
         "fp",
         gray_rank(F.col("fp")).alias("gray"),
@@ -209,7 +210,7 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
     )
     sizes = member.groupBy("mask", "shared").agg(F.count("*").alias("n"))
     s = F.ceil(F.col("n") / NODE)
-    hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared", s.alias("s")), "hot")
+    hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared", s.alias("s")), "hot", members // NODE)
     grp = F.xxhash64("mask", "shared")
     if not hot.head(1):
         rows = member.select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray")
@@ -222,7 +223,7 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
     mine = mine.join(cuts.drop("s"), ["mask", "shared"])
     step = F.greatest(F.floor(F.lit(64) / F.least("s", F.lit(64))), F.lit(1)).cast("int")
     part = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("gray"))) / step).cast("int") * F.lit(1 << 20) + F.pmod(F.xxhash64("fp"), again).cast("int")
-    mine = stored(mine.select("mask", "shared", "fp", "gray", part.cast("long").alias("node")), "nodes")
+    mine = stored(mine.select("mask", "shared", "fp", "gray", part.cast("long").alias("node")), "nodes", members)
     node = mine.groupBy("mask", "shared", "node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
     node = node.withColumn("same", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))))
     x, y = node.alias("x"), node.alias("y")
@@ -252,10 +253,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     code meet their component in a join that Spark may split, so a code that a third of the rows share is no hot task.
     """
     fps = stored(fingerprints(df, doc_id, text, width), "fingerprints")
-    codes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
-    tree = components(links(codes.select("fp"), k))
+    n = fps.count()
+    codes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes", n)
+    tree = components(links(codes.select("fp"), k), rows=n * len(masks(n, k)))
     rooted = codes.join(tree, codes.fp == tree.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
+    rooted = stored(rooted, "rooted", n)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     final = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
