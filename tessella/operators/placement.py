@@ -55,13 +55,18 @@ def grid_dots(px: DataFrame, p: Params) -> DataFrame:
 def dots_from_seeds(px: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:
     """A dot for each seed that has pixels: their mean colour, a radius from their mean density, limited by the nearest
     seed."""
-    near = assign.nearest_seed(px, seeds)
-    sums = near.groupBy("img_id", "w", "h", "seed_id").agg(*(F.sum(F.col(c).cast("long")).alias(f"s{c}") for c in "rgb"), F.count("*").alias("n"), F.avg("density").alias("d"))
+    sums = assign.tiled_sums(px, seeds.withColumnRenamed("seed_id", "center_id"), _middle, lambda f: f[["r", "g", "b", "density"]].to_numpy(float), ["sr", "sg", "sb", "sd"])
+    sums = sums.withColumnRenamed("center_id", "seed_id").withColumn("d", F.col("sd") / F.col("n")).join(px.select("img_id", "w", "h").distinct(), "img_id")
     g = sums.join(assign.nn_radius(seeds), ["img_id", "seed_id"]).withColumns({c: F.floor(F.col(f"s{c}") / F.col("n")).cast("int") for c in "rgb"})
     radius = F.least(dot_radius(luminance(), F.col("d"), F.least("w", "h").cast("double"), p), F.col("nn") * 0.8)
     return _numbered(g.withColumn("radius", radius), "seed_id").select(*DOT)
 
 
+def _middle(f):
+    """Where a pixel has its middle; seeds are where they are."""
+    return f[["x", "y"]].to_numpy(float) + (0.5 if "density" in f else 0.0)
+
+
 def lloyd_step(px: DataFrame, seeds: DataFrame, sensitivity: float) -> DataFrame:
     """Seeds moved to the weighted middle of their pixels, weight density ** (1 + 3 * sensitivity); a seed without
     weight stays."""
@@ -71,11 +76,7 @@ def lloyd_step(px: DataFrame, seeds: DataFrame, sensitivity: float) -> DataFrame
         w = np.power(f["density"].to_numpy(), power)
         return np.stack([w * (f["x"].to_numpy() + 0.5), w * (f["y"].to_numpy() + 0.5), w], 1)
 
-    def place(f):
-        at = 0.5 if "density" in f else 0.0
-        return f[["x", "y"]].to_numpy(float) + at
-
-    moved = assign.tiled_sums(px, seeds.withColumnRenamed("seed_id", "center_id"), place, sums, ["wx", "wy", "ws"])
+    moved = assign.tiled_sums(px, seeds.withColumnRenamed("seed_id", "center_id"), _middle, sums, ["wx", "wy", "ws"])
     moved = moved.where("ws > 0").select("img_id", F.col("center_id").alias("seed_id"), (F.col("wx") / F.col("ws")).alias("nx"), (F.col("wy") / F.col("ws")).alias("ny"))
     return seeds.join(moved, ["img_id", "seed_id"], "left").select("img_id", "seed_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
 
