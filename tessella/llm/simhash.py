@@ -7,6 +7,10 @@ all of its members share. The differences of two nodes' shared bits are a lower
 they exceed ``k`` the two groups are skipped whole, else their children add their own shared bits to the sum.
 Groups larger than ``NODE`` are cut into such nodes by a distributed pass, and each pair of nodes that is left is a task
 of bounded size. A task returns links to one member of each group it found, never all pairs.
+
+Few bits alone find little more than copies: texts of which 80 % of the shingles are the same differ in about 10 bits, and
+radii that cover this do not part unlike texts any more. With a ``share``, bits only choose candidates, among texts that
+have a band of least hashes in common, and links are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -27,22 +31,30 @@ SEED = 42  # fixed value
 NODE = 2048  # members of a node that one task compares with another's
 LEAF = 32
 CHUNK = 1 << 16
+CERTAIN = 3  # differing bits up to which texts are taken as alike without a look at their shingles
+SHARE = 0.8  # common shingles of all that two texts have, from which on they are alike
+BANDS, ROWS = 36, 6  # at 80 % in common, two texts have no band in common once in 56,000 times
 
 
-def fingerprint(data: bytes, width: int) -> int:
-    """Bits set in over half of the XXH64 of the text's word shingles; ASCII letters in lower case; no words: zero."""
-    words = data.lower().split()
+def hashes(words: list[bytes], width: int) -> list[int]:
+    """XXH64 of each shingle of ``words``, or of all words if they are no more than one."""
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
     hash64 = xxhash.xxh64_intdigest
     if n <= width:
-        h = [hash64(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, n)
-        end = np.cumsum(size + 1) - 1
-        h = [hash64(joined[a:b], SEED) for a, b in zip((end - size)[: n - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)]
+        return [hash64(joined, SEED)]
+    size = np.fromiter(map(len, words), np.int64, n)
+    end = np.cumsum(size + 1) - 1
+    return [hash64(joined[a:b], SEED) for a, b in zip((end - size)[: n - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(data: bytes, width: int) -> int:
+    """Bits set in over half of the XXH64 of the text's word shingles; ASCII letters in lower case; no words: zero."""
+    words = data.lower().split()
+    return majority(hashes(words, width)) if words else 0
+
+
+def majority(h: list[int]) -> int:
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(h), CHUNK):
         part = np.array(h[at : at + CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -243,21 +255,123 @@ def _grouped(rows: DataFrame, k: int) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp", "side", "gray").select("grp", "side", "fp").mapInArrow(lean(_link(k)), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, k: int = 3) -> DataFrame:
+def _sketch(width: int, sets: bool):
+    """Per text its fingerprint, a hash of its set of shingles, and the set itself or else its band keys."""
+    salt = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+
+    def keys(own: np.ndarray) -> list[int]:
+        least = np.full(BANDS * ROWS, ~np.uint64(0))
+        for at in range(0, len(own), 2048):
+            least = np.minimum(least, ((own[at : at + 2048, None] ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+        return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                fp, code, lists = [], [], []
+                for text in part.column(1).to_pylist():
+                    words = (text or b"").lower().split()
+                    h = hashes(words, width) if words else []
+                    own = np.unique(np.array(h, np.uint64))
+                    fp.append(majority(h) if h else 0)
+                    code.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    lists.append(own if sets else np.array(keys(own), np.uint64))
+                ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+                flat = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
+                longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fp, code)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "fp", "code", "list"])
+
+    return run
+
+
+def alike(sets: list[np.ndarray], fp: np.ndarray, k: int, share: float) -> Iterator[tuple[int, int]]:
+    """Links among sorted sets: pairs whose components are those of "at most k bits differ and ``share`` is common". Pairs
+    that earlier links have joined are not looked at, so a group of near copies is no square of them."""
+    size = np.array([len(s) for s in sets])
+    comp = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        fits = np.minimum(size[:i], size[i]) >= share * np.maximum(size[:i], size[i]) - 1e-9
+        left = np.flatnonzero(fits & (comp[:i] != comp[i]) & (_bits(fp[:i] ^ fp[i]) <= k))
+        while len(left):
+            j = int(left[0])
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= share * (size[i] + size[j] - both) - 1e-9:
+                yield i, j
+                comp[comp == comp[i]] = comp[j]
+            left = left[1:]
+            left = left[comp[left] != comp[i]]
+
+
+def _verified(k: int, share: float):
+    """Links within groups; rows come sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def out():
+            found = list(alike([r[2] for r in rows], np.array([r[1] for r in rows], np.int64).view(np.uint64), k, share))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[p[x]][0] for p in found], pa.int64()) for x in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(x).to_pylist() for x in range(3)]
+            for at, (grp, code, fp) in enumerate(zip(*cols, strict=True)):
+                if grp != now and rows:
+                    yield from out()
+                    rows = []
+                now = grp
+                rows.append((code, fp, batch.column(3)[at].values.to_numpy().view(np.uint64).copy()))
+        if rows:
+            yield from out()
+
+    return run
+
+
+def _alike_duplicates(df: DataFrame, doc_id: str, text: str, width: int, k: int, share: float) -> DataFrame:
+    """``near_duplicates`` with a ``share``. Texts with one set of shingles are one code. Codes with a common band key are
+    candidates; only their texts are read again, and each group that candidates form is compared in one task."""
+    ship(df.sparkSession)
+    kind = df.schema[doc_id].dataType.simpleString()
+    src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    ddl = f"doc_id {kind}, fp long, code long, list array<bigint>"
+    rows = stored(src.mapInArrow(lean(_sketch(width, False)), ddl), "sketches")
+    n = rows.count()
+    codes = stored(rows.groupBy("code").agg(F.min("doc_id").alias("first")), "codes", n)
+    band = rows.select("code", F.explode("list").alias("key"))
+    shared = band.groupBy("key").agg(F.min("code").alias("b"), F.max("code").alias("hi")).where("b <> hi").select(F.bitwise_not("key").alias("key"), "b")
+    edges = band.select(F.col("code").alias("a"), F.bitwise_not("key").alias("key")).join(shared, "key").select("a", "b")
+    tree = components(edges, rows=n * BANDS)
+    members = stored(tree.union(tree.select("root", "root")).distinct().toDF("code", "grp"), "members", n)
+    ids = codes.join(members, "code").select(F.col("first").alias("id")).distinct()
+    again = src.join(ids, src.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(lean(_sketch(width, True)), ddl)
+    sets = again.join(members, "code").dropDuplicates(["code"]).select("grp", "code", "fp", "list")
+    links = sets.repartition("grp").sortWithinPartitions("grp", "code").mapInArrow(lean(_verified(k, share)), "a long, b long")
+    return _rooted(rows, codes, components(links, rows=n), "code", n)
+
+
+def _rooted(rows: DataFrame, codes: DataFrame, tree: DataFrame, key: str, n: int) -> DataFrame:
+    rooted = codes.join(tree, codes[key] == tree.node, "left").select(key, "first", F.coalesce("root", key).alias("root"))
+    rooted = stored(rooted, "rooted", n)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    final = rooted.join(least, "root").select(key, "component_id")
+    return rows.join(final, key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, k: int = 3, share: float | None = None) -> DataFrame:
     """Per row of ``df``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, the least id that is reachable
-    over links of at most ``k`` differing bits.
+    over links of at most ``k`` differing bits, that also have ``share`` of their different shingles in common. By default
+    this is asked, with ``SHARE``, where ``k`` is over ``CERTAIN``; zero asks for bits alone.
 
     Null, empty and wordless texts have fingerprint zero and link like any other. Repeated ids keep their rows. A null
     id has a row, and is the component's id only where no other is there. An empty table gives an empty result. Only
     ``doc_id`` and ``text`` are read, so other columns cannot clash. Copies are one code from the start; the rows of a
     code meet their component in a join that Spark may split, so a code that a third of the rows share is no hot task.
     """
+    if share is None:
+        share = SHARE if k > CERTAIN else 0.0
+    if share:
+        return _alike_duplicates(df, doc_id, text, width, k, share)
     fps = stored(fingerprints(df, doc_id, text, width), "fingerprints")
     n = fps.count()
     codes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes", n)
-    tree = components(links(codes.select("fp"), k), rows=n * len(masks(n, k)))
-    rooted = codes.join(tree, codes.fp == tree.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted", n)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _rooted(fps, codes, components(links(codes.select("fp"), k), rows=n * len(masks(n, k))), "fp", n)
