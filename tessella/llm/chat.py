@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Turns are gathered per conversation and stretch of ``BLOCK`` turn numbers, so no row holds more than a stretch however
-long a conversation is. Prefix sums of turn tokens choose spans that end at turns; each span is a window. A window
-starts with the conversation's system turn, repeats earlier turns up to ``history`` tokens, then has its own turns. The
-loss mask covers the texts of its own assistant turns and nothing that is repeated.
+Turns are numbered through their conversation and gathered in stretches of ``BLOCK``. Greedy spans that end at turns are
+chosen over token counts alone, one number for each turn; each span is a window, whichever stretches it touches, and only
+these stretches' texts meet it. A window starts with the conversation's system turn, repeats earlier turns up to
+``history`` tokens, then has its own turns. The loss mask covers the texts of its own assistant turns and nothing that is
+repeated.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside texts a backslash is doubled, and a control
 string gets one behind its first character; roles are percent-encoded. Both can be undone, see ``read_back``.
@@ -11,7 +12,7 @@ string gets one behind its first character; roles are percent-encoded. Both can
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -39,69 +40,71 @@ def _turns(df: DataFrame, conv_id: str, turn: str, role: str, text: str, tokens:
     count = tokens if tokens is not None else default_tokens(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(
         F.col(conv_id).alias("conv_id"),
-        F.floor(F.col(turn) / BLOCK).alias("block"),
+        F.floor(F.col(turn) / BLOCK).alias("near"),
         F.struct(
             F.col(turn).alias("turn"), name.alias("role"), F.concat(F.lit(OPEN), name, F.lit("\n"), body, F.lit(CLOSE)).alias("piece"),
             (F.char_length(name) + len(OPEN) + 1).alias("head"), F.char_length(body).alias("size"), F.coalesce(count, F.lit(0)).cast("long").alias("tok"),
         ).alias("t"),
     )
-    return rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-
-def _context(df: DataFrame, args: tuple, history: int) -> DataFrame:
-    """For conversations of several blocks: each block's system turn and the end of the block before it."""
-    from pyspark.sql import Window
-
-    conv_id, turn = args[0], args[1]
-    far = df.where(F.col(turn).isNull() | (F.col(turn) < 0) | (F.col(turn) >= BLOCK)).select(F.col(conv_id).alias("__c")).distinct()
-    b = _turns(df.join(far, F.col(conv_id).eqNullSafe(F.col("__c")), "left_semi"), *args)
-    by = Window.partitionBy("conv_id").orderBy("block")
-    first = F.row_number().over(by) == 1
-    leads = F.col("turns")[0]["role"] == "system"
-    own = F.when(F.col("first") & leads, F.slice("turns", 2, BLOCK * 4)).otherwise(F.col("turns"))
-    cum = F.aggregate(F.reverse("own"), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n")), lambda a, x: F.struct((a["sum"] + x["tok"]).alias("sum"), (a["n"] + F.when(a["sum"] + x["tok"] <= history, 1).otherwise(0)).alias("n")))["n"]
-    b = b.withColumn("first", first).withColumn("lead", F.when(F.col("first") & leads, F.col("turns")[0])).withColumn("own", own)
-    b = b.withColumn("end", F.when(cum > 0, F.slice("own", F.size("own") - cum + 1, F.greatest(cum, F.lit(1)))))
-    return b.select(
-        F.col("conv_id").alias("c"), F.col("block").alias("bl"), "first",
-        F.first("lead", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"), F.lag("end").over(by).alias("tail"),
-    ).where("not first")
+    # numbered among neighbouring turn numbers, behind all rows before these: texts are not sorted by whole conversations
+    since = F.sum("n").over(Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(F.col("conv_id").alias("c"), F.col("near").alias("r")).agg(F.count("*").alias("n")).select("c", "r", F.coalesce(since, F.lit(0)).alias("since"))
+    rows = rows.join(sizes, rows.conv_id.eqNullSafe(sizes.c) & rows.near.eqNullSafe(sizes.r))
+    rows = rows.select("conv_id", "t", (F.col("since") + F.row_number().over(Window.partitionBy("conv_id", "near").orderBy("t")) - 1).alias("i"))
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"])
+    return rows.groupBy("conv_id", F.floor(F.col("i") / BLOCK).alias("block")).agg(turns.alias("turns"))
+
+
+def _spans(b: DataFrame, budget: int, history: int) -> DataFrame:
+    """``(c, window, start, end, back, lead)``: the turns of each window, numbered through the conversation, the first that
+    it repeats, and whether the system turn comes before that."""
+    long = lambda x: F.lit(x).cast("long")
+    none = F.expr("cast(array() as array<bigint>)")
+    lead = F.when((F.col("block") == 0) & (F.col("turns")[0]["role"] == "system"), F.col("turns")[0]["tok"])
+    toks = b.select("conv_id", "block", F.transform("turns", lambda x: x["tok"]).alias("toks"), lead.alias("lead"))
+    talk = toks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "toks"))).alias("all"), F.max("lead").alias("lead"))
+    room = long(budget - history) - F.coalesce("lead", long(0))
+
+    def step(a: Column, tok: Column) -> Column:
+        cut = (a["i"] > 0) & (a["open"] + tok > F.when(a["first"], long(budget)).otherwise(room))
+        return F.struct(
+            (a["i"] + 1).alias("i"), F.when(cut, tok).otherwise(a["open"] + tok).alias("open"), (a["first"] & ~cut).alias("first"),
+            F.when(cut, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"),
+        )
+
+    def stretch(a: Column, x: Column) -> Column:
+        got = F.aggregate(x["toks"], F.struct(a["i"].alias("i"), a["open"].alias("open"), a["first"].alias("first"), none.alias("starts")), step)
+        return F.transform(F.array(got), lambda g: F.struct(g["i"].alias("i"), g["open"].alias("open"), g["first"].alias("first"), F.concat(a["starts"], F.array(g["starts"])).alias("starts")))[0]
+
+    zero = F.struct(long(0).alias("i"), long(0).alias("open"), F.lit(True).alias("first"), F.expr("cast(array() as array<array<bigint>>)").alias("starts"))
+    talk = talk.select("conv_id", "lead", F.aggregate("all", zero, stretch).alias("done"))
+    talk = talk.select("conv_id", "lead", F.concat(F.array(long(0)), F.flatten("done.starts")).alias("start"), F.col("done.i").alias("n"))
+    talk = talk.select("conv_id", "lead", F.posexplode(F.arrays_zip("start", F.concat(F.slice("start", 2, F.size("start")), F.array("n")).alias("end"))).alias("window", "span"))
+    each = toks.select("conv_id", "block", F.posexplode("toks").alias("at", "tok")).select("conv_id", (F.col("block") * BLOCK + F.col("at")).alias("i"), "tok")
+    each = each.withColumn("before", F.sum("tok").over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tok"))
+    each = each.select(F.col("conv_id").alias("c"), "i", F.min("i").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)).alias("back"))
+    talk = talk.join(each, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span.start") == F.col("i")))
+    return talk.select("c", "window", F.col("span.start").alias("start"), F.col("span.end").alias("end"), "back", (F.col("lead").isNotNull() & (F.col("back") > 0)).alias("lead"))
 
 
 def windows(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 1024, history: int = 256, tokens: Column | None = None) -> DataFrame:
-    """``(conv_id, block, window, formatted, n_repeated, mask)``: windows of every conversation, in order of ``block``
-    and ``window``; ``mask`` has start and length, in characters of ``formatted``, of the texts that are learnt from.
+    """``(conv_id, block, window, formatted, n_repeated, mask)``: windows of every conversation, in order of
+    ``window``, and the stretch that each starts in; ``mask`` has start and length, in characters of ``formatted``, of the texts that are learnt from.
 
     Turns are ordered by number, then by role and text as the template writes them; repeated rows are turns of their own. Null text and null role are
     empty, a null number comes first, null ids are one conversation. A turn that is larger than the budget has a window
     of its own, whole. Only the named columns are read, so other columns cannot clash; no rows give no windows.
     """
-    args = (conv_id, turn, role, text, tokens)
-    b = _turns(df, *args)
-    ctx = _context(df, args, history)
-    b = b.join(ctx, b.conv_id.eqNullSafe(ctx.c) & b.block.eqNullSafe(ctx.bl), "left")
-    kind = b.schema["turns"].dataType.simpleString()
-    b = b.withColumn("far", F.col("first").isNotNull())
-    b = b.withColumn("tail", F.coalesce("tail", F.expr(f"cast(array() as {kind})")))
-    b = b.withColumn("lead", F.when(F.col("far"), F.col("lead")).otherwise(F.when(F.col("turns")[0]["role"] == "system", F.col("turns")[0])))
-    b = b.select("conv_id", "block", "far", "lead", F.size("tail").alias("base"), F.concat("tail", "turns").alias("all"))
-    zero = F.array(F.lit(0).cast("long"))
-    b = b.withColumn("sums", F.aggregate("all", zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["tok"]))))
-    room = F.lit(budget) - F.lit(history) - F.coalesce(F.col("lead")["tok"], F.lit(0))
-
-    def cut(a: Column, i: Column) -> Column:
-        since = F.element_at(a, -1)
-        most = F.when(~F.col("far") & (since == 0), F.lit(budget)).otherwise(room)
-        return F.when((i > since) & (F.element_at("sums", i + 2) - F.element_at("sums", since + 1) > most), F.concat(a, F.array(i))).otherwise(a)
-
-    b = b.withColumn("cuts", F.aggregate(F.sequence("base", F.size("all") - 1), F.array("base"), cut))
-    b = b.select("*", F.posexplode("cuts").alias("window", "start"))
-    end = F.when(F.col("window") + 1 < F.size("cuts"), F.get("cuts", F.col("window") + 1)).otherwise(F.size("all"))
-    back = F.size(F.filter(F.sequence(F.lit(0), F.col("start")), lambda j: F.element_at("sums", F.col("start") + 1) - F.element_at("sums", j + 1) > history))
-    b = b.withColumn("end", end).withColumn("back", back)
-    again = F.col("lead").isNotNull() & (F.col("far") | (F.col("back") > 0))
-    old = F.concat(F.when(again, F.array("lead")).otherwise(F.expr(f"cast(array() as {kind})")), F.slice("all", F.col("back") + 1, F.col("start") - F.col("back")))
-    b = b.select("conv_id", "block", "window", old.alias("old"), F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("new"))
+    b = _turns(df, conv_id, turn, role, text, tokens)
+    of = F.transform(F.sequence(F.floor(F.col("back") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)), lambda k: F.struct(k.alias("no"), k.alias("in"), F.greatest("back", k * BLOCK).alias("lo"), F.least("end", (k + 1) * BLOCK).alias("hi")))
+    first = F.expr("array(struct(-1L as no, 0L as `in`, 0L as lo, 1L as hi))")
+    spans = _spans(b, budget, history).select("c", "window", "start", F.explode(F.when(F.col("lead"), F.concat(first, of)).otherwise(of)).alias("p"))
+    b = b.join(spans, b.conv_id.eqNullSafe(spans.c) & (F.col("block") == F.col("p.in")))
+    lo, hi, start, base = F.col("p.lo"), F.col("p.hi"), F.col("start"), F.col("block") * BLOCK - 1
+    part = lambda x, y: F.slice("turns", (x - base).cast("int"), F.greatest(y - x, F.lit(0)).cast("int"))
+    parts = F.struct(F.col("p.no").alias("no"), part(lo, F.least(hi, start)).alias("old"), part(F.greatest(lo, start), hi).alias("new"))
+    b = b.groupBy("conv_id", F.floor(start / BLOCK).alias("block"), "window").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
+    b = b.select("conv_id", "block", "window", F.flatten("parts.old").alias("old"), F.flatten("parts.new").alias("new"))
     join = lambda c: F.array_join(F.transform(c, lambda x: x["piece"]), "")
     begin = F.struct(F.char_length(join("old")).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("mask"))
 
