@@ -174,20 +174,23 @@ def _matcher(index: Index, keys: list[str]):
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans and items of a row, maybe found over several blocks, to counts and a digest."""
     for part in batches:
-        hits, kept, digests = [], [], []
+        hits, runs, kept, digests = [], [], [], []
         for spans, items in zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True):
-            n, reach = 0, 0
+            n, begin, reach, run = 0, 0, 0, 0
             for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
                 n += max(0, b - max(a, reach))
+                begin = a if a > reach else begin
                 reach = max(reach, b)
+                run = max(run, reach - begin)
             hits.append(n)
+            runs.append(run)
             items = sorted(set(items))
             kept.append(items)
             digests.append(hashlib.sha256(",".join(items).encode("utf-8", "surrogatepass")).hexdigest())
         names = [c for c in part.schema.names if c not in ("spans", "items")]
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in names), pa.array(hits, pa.int64()), pa.array([len(x) for x in kept], pa.int64()), pa.array(digests), pa.array(kept, pa.list_(pa.string()))],
-            [*names, "n_hit", "n_items", "items_sha256", "items"],
+            [*(part.column(c) for c in names), pa.array(hits, pa.int64()), pa.array(runs, pa.int64()), pa.array([len(x) for x in kept], pa.int64()), pa.array(digests), pa.array(kept, pa.list_(pa.string()))],
+            [*names, "n_hit", "longest_hit", "n_items", "items_sha256", "items"],
         )
 
 
@@ -200,8 +203,8 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``n_items``,
-    ``items_sha256``, ``items`` (ids, sorted as strings) and ``contaminated`` (a hit word in ``share`` or fewer words).
+    """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words inside an occurrence of a window),
+    ``longest_hit`` (the longest run of such words), ``n_items``, ``items_sha256``, ``items`` (ids, sorted as strings) and ``contaminated`` (a hit word in ``share`` or fewer words).
 
     Null, empty and wordless texts have no words and are clean. Items that are null or have a null id are not searched
     for; repeated items count once, two ids with one text count as two items. An empty benchmark leaves all clean.
@@ -228,5 +231,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         for more in found[1:]:
             one = one.unionByName(more)
         one = one.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
-    out = one.mapInArrow(lean(_summary), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
+    out = one.mapInArrow(lean(_summary), f"doc_id {kind}, n_words long, n_hit long, longest_hit long, n_items long, items_sha256 string, items array<string>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

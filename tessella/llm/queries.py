@@ -64,7 +64,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items", "longest_hit")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
