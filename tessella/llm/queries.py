@@ -151,8 +151,8 @@ runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS r
 gone AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM runs GROUP BY doc_id, run),
 cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM gone),
 kept AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, max(b) AS last, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS front FROM cuts JOIN h USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
-  sha256(unhex(coalesce(front, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM h LEFT JOIN kept USING (doc_id)""",
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256,
+  length(regexp_replace(rest, '[89AB].|(.).', '\\1', 'g')) AS n_chars FROM (SELECT *, coalesce(front, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)) AS rest FROM h LEFT JOIN kept USING (doc_id))""",
     "op8_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 f AS (SELECT doc_id, no, line, {_LINE_WORDS} AS w, array_to_string({_LINE_WORDS}, ' ') AS flat, doc_id * 1000000 + no AS place FROM l),

@@ -30,20 +30,22 @@ from pyspark.sql import types as T
 from tessella.llm._shared import release, ship, stored
 
 GROUP = 8192  # different surroundings of one string that a task compares; larger groups are counted by window hash
-BROADCAST_ROWS = 200_000  # lists by document: broadcast up to here, shuffled beyond
+BROADCAST_BYTES = 48 << 20  # lists by document: broadcast up to here, shuffled beyond
 SLICE_BYTES = 2 << 20
 MAX_ROUNDS = 40
 MULT = 0xD1342543DE82EF95  # odd, for polynomial hashes modulo 2 ** 64
-LETTER = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STARTS = bytes([*range(128), *range(192, 256)])  # bytes that a character of UTF-8 may start with
+#: One row of letters' values for each of two hashes that do not depend on one another.
+LETTER = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Hashes:
-    """Hash of any stretch of a byte string in constant time."""
+    """Hash of any stretch of a byte string in constant time; ``kind`` 0 and 1 are two different hashes."""
 
     _power = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, kind: int = 0) -> None:
         n = len(data) + 1
         if len(Hashes._power) < n:
             size = 1 << (n - 1).bit_length()
@@ -52,7 +54,7 @@ class Hashes:
                 steps[0] = 1
                 setattr(Hashes, name, np.cumprod(steps, dtype=np.uint64))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(LETTER[data] * Hashes._power[: n - 1], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(LETTER[kind][data] * Hashes._power[: n - 1], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * Hashes._inverse[start]
@@ -66,12 +68,12 @@ class Hashes:
 def anchors(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndarray]:
     """Per stretch of windows that elect one anchor: the text's number, the anchor ``p``, first and last window start
     ``lo`` and ``hi``, hash ``g`` of the anchor's string, hash ``c`` of all that the windows cover, and the phrase that
-    starts here (``name``, 0 if no anchor follows) with its length to the next anchor."""
+    starts here (``name``, 0 if no anchor follows, and a second hash of it, ``check``) with its length to the next anchor."""
     size = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.zeros(0, np.int64)
     if len(data) < window:
-        return {k: empty for k in ("text", "p", "lo", "hi", "g", "c", "name", "length")}
+        return {k: empty for k in ("text", "p", "lo", "hi", "g", "c", "name", "check", "length")}
     end = np.cumsum(size)
     h = Hashes(data)
     at = np.arange(len(data) - gram + 1)
@@ -87,7 +89,7 @@ def anchors(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndarray]
     ok = start + window <= end[text]
     start, text, p = start[ok], text[ok], (least[ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(start):
-        return {k: empty for k in ("text", "p", "lo", "hi", "g", "c", "name", "length")}
+        return {k: empty for k in ("text", "p", "lo", "hi", "g", "c", "name", "check", "length")}
     new = np.r_[True, (p[1:] != p[:-1]) | (text[1:] != text[:-1])]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(p)] - 1
@@ -95,10 +97,11 @@ def anchors(texts: list[bytes], window: int, gram: int) -> dict[str, np.ndarray]
     follows = np.r_[text[1:] == text[:-1], False]
     nxt = np.where(follows, np.r_[p[1:], 0], p)
     name = np.where(follows, h.of(p, nxt + gram) | np.uint64(1), np.uint64(0))
+    check = Hashes(data, 1).of(p, nxt + gram)
     base = (end - size)[text]
     return {
         "text": text, "p": p - base, "lo": lo - base, "hi": hi - base, "g": h.of(p, p + gram).view(np.int64), "c": (h.of(lo, hi + window) ^ (p - lo).astype(np.uint64)).view(np.int64),
-        "name": (name >> np.uint64(1)).view(np.int64), "length": np.where(follows, nxt - p, 0),
+        "name": (name >> np.uint64(1)).view(np.int64), "check": check.view(np.int64), "length": np.where(follows, nxt - p, 0),
     }
 
 
@@ -120,8 +123,8 @@ def _scan(window: int, gram: int):
             first = np.flatnonzero(np.r_[True, a["text"][1:] != a["text"][:-1]]) if len(a["text"]) else np.zeros(0, np.int64)
             j = np.arange(len(a["text"])) - np.repeat(first, np.diff(np.r_[first, len(a["text"])]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc").take(took), part.column("th").take(took), pa.array(a["text"] + row), pa.array(j.astype(np.int32)), *(pa.array(a[k].astype(np.int32)) for k in ("p", "lo", "hi")), *(pa.array(a[k]) for k in ("g", "c", "name")), pa.array(a["length"].astype(np.int32))],
-                ["doc", "th", "row", "j", "p", "lo", "hi", "g", "c", "name", "length"],
+                [part.column("doc").take(took), part.column("th").take(took), pa.array(a["text"] + row), pa.array(j.astype(np.int32)), *(pa.array(a[k].astype(np.int32)) for k in ("p", "lo", "hi")), *(pa.array(a[k]) for k in ("g", "c", "name", "check")), pa.array(a["length"].astype(np.int32))],
+                ["doc", "th", "row", "j", "p", "lo", "hi", "g", "c", "name", "check", "length"],
             )
             row += part.num_rows
 
@@ -178,7 +181,9 @@ def suffix_ranks(names: DataFrame, enough: int, depth: int = 0) -> DataFrame:
     release(order)
     if not depth:
         settle(spark)
-    if depth < MAX_ROUNDS and known.where("open").head(1):
+    if known.where("open").head(1):
+        if depth >= MAX_ROUNDS:  # each round triples what a name covers
+            raise RuntimeError(f"suffixes are not told apart after {depth} rounds")
         # the sequences of names at positions 1 and 2 modulo 3; of decided names only those that follow open ones matter
         deep = known.withColumns({"s2": F.xxhash64("seq", F.col("j") % 3), "j2": F.floor(F.col("j") / 3).cast("int")})
         chain = deep.select(F.col("s2").alias("seq"), F.col("j2").alias("j"), F.col("ra").alias("name"), F.col("cover3").alias("cover"), "open")
@@ -222,16 +227,18 @@ def _cut(window: int):
     return run
 
 
-def _windows(around: list[bytes], offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each window of each text, with its distance to the anchor; the text's number and the window's start."""
+def _windows(around: list[bytes], offset: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each window of each text, the first with its distance to the anchor; the text's number and the
+    window's start."""
     size = np.array([len(t) for t in around], np.int64)
     begin = np.cumsum(size) - size
-    h = Hashes(np.frombuffer(b"".join(around), np.uint8))
+    data = np.frombuffer(b"".join(around), np.uint8)
     count = size - window + 1
     text = np.repeat(np.arange(len(around)), count)
     at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     start = begin[text] + at
-    return h.of(start, start + window) ^ ((offset[text] - at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), text, at
+    first, second = (Hashes(data, kind).of(start, start + window) for kind in (0, 1))
+    return first ^ ((offset[text] - at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), second, text, at
 
 
 def _runs(text: np.ndarray, at: np.ndarray, hit: np.ndarray, total: int) -> list[list[int]]:
@@ -252,10 +259,13 @@ def _compare(window: int):
 
     def work(cols):
         g, c, n, offset, around = cols
-        key, text, at = _windows(around, offset, window)
+        key, check, text, at = _windows(around, offset, window)
         key ^= g.view(np.uint64)[text] * np.uint64(0xBF58476D1CE4E5B9)
-        _, inverse = np.unique(key, return_inverse=True)
-        hit = np.bincount(inverse, weights=n[text])[inverse] > 1
+        order = np.argsort(key)
+        new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])]
+        kind = np.empty(len(key), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        hit = np.bincount(kind, weights=n[text])[kind] > 1
         return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(_runs(text, at, hit, len(g)), pa.list_(pa.int32()))], ["g", "c", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,19 +289,31 @@ def _compare(window: int):
 
 
 def _explode(window: int):
+    """A row for each window of each surrounding."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                key, text, at = _windows(part.column("around").to_pylist(), part.column("offset").to_numpy(zero_copy_only=False), window)
+                key, check, text, at = _windows(part.column("around").to_pylist(), part.column("offset").to_numpy(zero_copy_only=False), window)
                 took = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column("g").take(took), pa.array(key.view(np.int64)), part.column("c").take(took), part.column("n").take(took), pa.array(at.astype(np.int32))], ["g", "key", "c", "n", "at"])
+                yield pa.RecordBatch.from_arrays([part.column("g").take(took), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), part.column("c").take(took), part.column("n").take(took), pa.array(at.astype(np.int32))], ["g", "key", "check", "c", "n", "at"])
 
     return run
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of window starts to runs."""
+    for part in batches:
+        starts = [sorted(x) for x in part.column("starts").to_pylist()]
+        text = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
+        at = np.array([i for x in starts for i in x], np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("g"), part.column("c"), pa.array(_runs(text, at, np.ones(len(at), bool), len(starts)), pa.list_(pa.int32()))], ["g", "c", "runs"])
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame, how: str, column: str, width: int) -> DataFrame:
+    """``docs`` with their row of ``lists``, whose ``column`` has elements of ``width`` bytes."""
+    few = (lists.agg(F.sum(F.size(column).cast("long") * width + 64)).first()[0] or 0) <= BROADCAST_BYTES
     right = lists.withColumnsRenamed({"doc": "doc_", "th": "th_"})
     return docs.join(F.broadcast(right) if few else right, docs.doc.eqNullSafe(right.doc_) & docs.th.eqNullSafe(right.th_), how).drop("doc_", "th_")
 
@@ -301,10 +323,10 @@ def _ahead(enough: int):
     and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32, np.int64)]
 
         def out(cols):
-            seq, j, name, cover, p = cols
+            seq, j, name, cover, p, check = cols
             n = len(seq)
             new = np.r_[True, (seq[1:] != seq[:-1]) | (j[1:] != j[:-1] + 1)][:n]
             first = np.flatnonzero(new)
@@ -313,11 +335,11 @@ def _ahead(enough: int):
             end = np.minimum(np.searchsorted(upto, upto - cover + enough) + 1, stop)
             ends = np.r_[0, np.cumsum(end - np.arange(n))]
             at = np.repeat(np.arange(n) - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
-            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[at])) for v in (name, cover.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(j), pa.array(p), *lists], ["seq", "j", "p", "names", "sizes"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[at])) for v in (name, check, cover.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(j), pa.array(p), *lists], ["seq", "j", "p", "names", "checks", "sizes"])
 
         for batch in batches:
-            cols = [np.concatenate([a, batch.column(k).to_numpy(zero_copy_only=False)]) for a, k in zip(held, ("seq", "j", "name", "cover", "p"), strict=True)]
+            cols = [np.concatenate([a, batch.column(k).to_numpy(zero_copy_only=False)]) for a, k in zip(held, ("seq", "j", "name", "cover", "p", "check"), strict=True)]
             if len(cols[0]):
                 cut = int(np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1])  # the last sequence may go on
                 yield out([c[:cut] for c in cols])
@@ -327,16 +349,20 @@ def _ahead(enough: int):
     return run
 
 
-def _merged(df: DataFrame) -> DataFrame:
-    """Sorted spans joined where they meet."""
-    first = F.slice("spans", 1, 1)
-
-    def add(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        wider = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], s["e"]).alias("e"))))
-        return F.when(s["s"] <= last["e"], wider).otherwise(F.concat(a, F.array(s)))
-
-    return df.withColumn("spans", F.aggregate("spans", first, add))
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each sequence joined where they meet, a row for each."""
+    for part in batches:
+        lists = part.column("spans")
+        n = np.diff(lists.offsets.to_numpy())
+        at = np.repeat(np.arange(part.num_rows), n)
+        s, e = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in ("s", "e"))
+        order = np.lexsort((s, at))
+        at, s, e = at[order], s[order], e[order]
+        lift = at << np.int64(40)  # keeps sequences apart in the running maximum
+        reach = np.maximum.accumulate(e + lift) if len(e) else e
+        first = np.flatnonzero(np.r_[True, s[1:] + lift[1:] > reach[:-1]][: len(s)])
+        last = np.r_[first[1:], len(s)][: len(first)] - 1
+        yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(at[first])), pa.array(s[first]), pa.array((reach - lift)[last])], ["row", "s", "e"])
 
 
 def repeated_spans(src: DataFrame, window: int) -> DataFrame:
@@ -345,7 +371,7 @@ def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     gram = window // 4
     doc = src.schema["doc"].dataType.simpleString()
     key = f"doc {doc}, th long"
-    places = stored(src.mapInArrow(_scan(window, gram), f"{key}, row long, j int, p int, lo int, hi int, g long, c long, name long, length int"), "anchors")
+    places = stored(src.mapInArrow(_scan(window, gram), f"{key}, row long, j int, p int, lo int, hi int, g long, c long, name long, check long, length int"), "anchors")
     often = places.groupBy("g").agg(F.count("*").alias("times")).where("times > 1").select("g")
     often = stored(often, "often")  # a plain table, so that Spark may split this join where a string is very common
     found = places
@@ -356,55 +382,62 @@ def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     # Suffix sort of the phrases that occur twice; a phrase that occurs once ends what any suffix can share.
     twice = places.where("name <> 0").groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
     twice = stored(twice, "twice")
-    phrases = stored(places.where("name <> 0").join(twice, "name").select(F.col("row").alias("seq"), "j", "name", F.col("length").cast("long").alias("cover"), "p"), "phrases")
+    phrases = stored(places.where("name <> 0").join(twice, "name").select(F.col("row").alias("seq"), "j", "name", "check", F.col("length").cast("long").alias("cover"), "p"), "phrases")
     ranks = suffix_ranks(phrases.select("seq", "j", "name", "cover"), window - gram)
-    ahead = phrases.repartition("seq").sortWithinPartitions("seq", "j").mapInArrow(_ahead(window - gram), "seq long, j int, p int, names array<bigint>, sizes array<int>")
-    order = _ordered(ahead.join(ranks, ["seq", "j"]).select(F.col("seq").alias("row"), "p", "names", "sizes", "rank"), "order", "rank")
-    own = F.struct("row", "p", "names", "sizes")
+    ahead = phrases.repartition("seq").sortWithinPartitions("seq", "j").mapInArrow(_ahead(window - gram), "seq long, j int, p int, names array<bigint>, checks array<bigint>, sizes array<int>")
+    order = _ordered(ahead.join(ranks, ["seq", "j"]).select(F.col("seq").alias("row"), "p", "names", "checks", "sizes", "rank"), "order", "rank")
+    own = F.struct("row", "p", "names", "checks", "sizes")
     pairs = order.select(own.alias("x"), F.lag(own).over(Window.partitionBy("part").orderBy("at")).alias("y"))
     ends = order.groupBy("part").agg(F.min_by(own, "at").alias("x"), F.max_by(own, "at").alias("l"))  # one row for each part
     ends = ends.select("x", F.lag("l").over(Window.orderBy("part")).alias("y"))
     pairs = pairs.unionByName(ends).where(F.col("x.names")[0] == F.col("y.names")[0])
     # what two neighbours share: phrases up to the first that differs, and the string at the anchor behind them
-    same = F.zip_with("x.names", "y.names", lambda a, b: a.eqNullSafe(b))
+    # names are sorted by one hash, and count as equal if a second one agrees
+    same = F.zip_with(F.arrays_zip("x.names", "x.checks"), F.arrays_zip("y.names", "y.checks"), lambda a, b: a.eqNullSafe(b))
     equal = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
     size = F.aggregate(F.slice("x.sizes", F.lit(1), equal), F.lit(0), lambda a, n: a + n) + gram
     pairs = pairs.withColumn("size", size).where(F.col("size") >= window)
     found = pairs.select(F.explode(F.array("x", "y")).alias("z"), "size").select("z.row", "z.p", "size")
-    spans = F.array_sort(F.collect_set(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("size")).alias("e"))))
-    marked = stored(_merged(found.groupBy("row").agg(spans.alias("spans"))), "marked")
+    spans = F.collect_set(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("size")).alias("e")))
+    marked = stored(found.groupBy("row").agg(spans.alias("spans")).mapInArrow(_merged, "row long, s long, e long"), "marked")
     release(phrases, order)
     settle(spark)
 
-    # Anchors with windows that no such span covers.
-    covered = F.exists("spans", lambda s: (s["s"] <= F.col("lo")) & (s["e"] >= F.col("hi") + window))
-    left = places.join(marked, "row", "left").withColumn("covered", F.coalesce(covered, F.lit(False)))
+    # Anchors with windows that no such span covers: of a text's spans, which do not meet, the last that starts before
+    # an anchor's first window must reach to the end of its last one.
+    none = {c: F.lit(None).cast(places.schema[c].dataType) for c in ("doc", "th", "p", "hi", "g", "c")}
+    starts = marked.select("row", F.col("s").alias("lo"), F.col("e"), F.lit(0).alias("kind")).withColumns(none)
+    both = starts.unionByName(places.select("row", F.col("lo").cast("long").alias("lo"), F.lit(None).cast("long").alias("e"), F.lit(1).alias("kind"), *none))
+    reach = F.max("e").over(Window.partitionBy("row").orderBy("lo", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    left = both.withColumn("reach", reach).where("kind = 1").withColumn("covered", F.coalesce(F.col("reach") >= F.col("hi") + window, F.lit(False)))
     left = stored(left.select("doc", "th", "p", "lo", "hi", "g", "c", "covered"), "left")
     groups = left.groupBy("g").agg(F.bool_or(~F.col("covered")).alias("open")).where("open").select("g")
     groups = stored(groups, "groups")
     kinds = left.join(groups, "g").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "p", "lo", "hi")).alias("one"))
     kinds = stored(kinds.select("g", "c", "n", "one.*"), "kinds")
     wanted = kinds.groupBy("doc", "th").agg(F.collect_list(F.struct("g", "c", "n", "p", "lo", "hi")).alias("wanted"))
-    texts = _with_lists(src, stored(wanted, "wanted"), "inner").select("text", "wanted")
+    texts = _with_lists(src, stored(wanted, "wanted"), "inner", "wanted", 48).select("text", "wanted")
     texts = stored(texts.mapInArrow(_cut(window), "g long, c long, n long, offset int, around binary").dropDuplicates(["g", "c"]), "around")
     big = texts.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > GROUP).select("g")
     big = stored(big, "big")
     small = texts.join(big, "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    runs = small.mapInArrow(_compare(window), "g long, c long, runs array<int>").select("g", "c", F.explode(F.expr("transform(sequence(0, greatest(size(runs), 1) - 1, 2), i -> struct(get(runs, i) as a, get(runs, i + 1) as b))")).alias("r")).where("r.a is not null").select("g", "c", "r.a", "r.b")
+    runs = small.mapInArrow(_compare(window), "g long, c long, runs array<int>")
     if big.head(1):
-        each = texts.join(big, "g").mapInArrow(_explode(window), "g long, key long, c long, n long, at int")
+        each = texts.join(big, "g").mapInArrow(_explode(window), "g long, key long, check long, c long, n long, at int")
         each = stored(each, "windows")
-        double = each.groupBy("g", "key").agg(F.sum("n").alias("total")).where("total > 1").select("g", "key")
-        hits = each.join(double, ["g", "key"]).select("g", "c", F.col("at").alias("a"), F.col("at").alias("b"))
-        runs = runs.unionByName(hits)
+        double = each.groupBy("g", "key", "check").agg(F.sum("n").alias("total")).where("total > 1").select("g", "key", "check")
+        hits = each.join(stored(double, "double"), ["g", "key", "check"])  # two plain tables, so that Spark may split the join
+        hits = hits.groupBy("g", "c").agg(F.collect_list("at").alias("starts"))  # windows of one surrounding, a bounded number
+        runs = runs.unionByName(hits.mapInArrow(_gathered, "g long, c long, runs array<int>"))
+    runs = runs.select("g", "c", F.explode(F.expr("transform(sequence(0, greatest(size(runs), 1) - 1, 2), i -> struct(get(runs, i) as a, get(runs, i + 1) as b))")).alias("r")).where("r.a is not null").select("g", "c", "r.a", "r.b")
     more = left.where("not covered").join(stored(runs, "runs"), ["g", "c"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + window).alias("end"))
-    first = places.select("doc", "th", "row").distinct().join(marked, "row").select("doc", "th", F.explode("spans").alias("s")).select("doc", "th", F.col("s.s").alias("start"), F.col("s.e").alias("end"))
+    first = places.select("doc", "th", "row").distinct().join(marked, "row").select("doc", "th", F.col("s").alias("start"), F.col("e").alias("end"))
     return first.unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 400) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``, the bytes
-    that are left. A byte goes if a string of ``window`` bytes that covers it also starts anywhere else.
+    """Per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_chars``, the
+    characters whose first byte is left, and ``kept``, the bytes that are left. A byte goes if a string of ``window`` bytes that covers it also starts anywhere else.
 
     Null texts are empty. Rows that repeat, id and text, are places of their own: all their windows are repeated. Null
     ids are ids like others. Texts below ``window`` bytes and empty tables pass through. Only the two named columns are
@@ -416,11 +449,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = stored(repeated_spans(src, window), "spans")
     lists = stored(spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "lists")
     settle(spark)
-    whole = _with_lists(src, lists, "left").select("doc", "text", "spans")
+    whole = _with_lists(src, lists, "left", "spans", 40).select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            sizes, gone, count, digest, kept = [], [], [], [], []
+            sizes, gone, count, digest, chars, kept = [], [], [], [], [], []
             for t, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 at, runs, left = 0, 0, []
                 for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -434,7 +467,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 gone.append(len(t) - len(rest))
                 count.append(runs)
                 digest.append(hashlib.sha256(rest).hexdigest())
+                chars.append(len(rest) - len(rest.translate(None, STARTS)))
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), *(pa.array(x, pa.int64()) for x in (sizes, gone, count)), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), *(pa.array(x, pa.int64()) for x in (sizes, gone, count)), pa.array(digest), pa.array(chars, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_chars", "kept"])
 
-    return whole.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]))
+    return whole.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("kept", T.BinaryType())]))

@@ -182,8 +182,9 @@ def test_suffix_dedup_equals_brute_force(frame, monkeypatch):
                 gone[i : i + window] = b"\1" * window
         spans = sum(1 for i, x in enumerate(gone) if x and (not i or not gone[i - 1]))
         want[d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    for group in (8192, 2):
+    for group, most in ((256, 1 << 20), (2, 100)):
         monkeypatch.setattr(suffix, "GROUP", group)
+        monkeypatch.setattr(suffix, "BROADCAST_BYTES", most)
         got = suffix.remove_repeats(frame([(*r, 1) for r in rows], DOC + ", row int"), window=window)
         assert Counter(tuple(r)[:5] for r in got.collect()) == want
     assert suffix.remove_repeats(frame([], DOC)).count() == 0
