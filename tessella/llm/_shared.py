@@ -19,6 +19,23 @@ ROWS_PER_FILE = 250_000
 _made: dict[str, list[str]] = {}
 
 
+def named(name: str) -> Column:
+    """The column of this very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores in front as it takes to differ from all that are ``taken``."""
+    lower = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in lower:
+            n = "_" + n
+        out.append(n)
+        lower.add(n.lower())
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,8 +55,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one is chosen only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one is chosen only where it is unset and the executor is
+    the driver's own process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
         spark.sparkContext.setCheckpointDir(at)
@@ -100,6 +120,16 @@ def lean(run):
     return wrapped
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name: Spark itself takes a dot in one for a field of a struct."""
+    names = df.columns
+
+    def renamed(batches):
+        yield from run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lean(renamed), schema)
+
+
 def fold_of(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))

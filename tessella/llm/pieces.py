@@ -22,10 +22,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import lean, ship
+from tessella.llm._shared import fresh, mapped, named, ship
 
 MARK = "▁"  # fixed value: stands for a space at the beginning of pieces
 OFFSET, SHARPNESS, FALLBACK = 100.0, 1.5, 1e-9
@@ -244,7 +243,8 @@ def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
     ship(df.sparkSession)
     made = ([T.StructField("pieces", T.ArrayType(T.IntegerType()))] if pieces else []) + [T.StructField("n_pieces", T.LongType()), T.StructField("pieces_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
     kept = [c for c in df.columns if c.lower() not in {"pieces", "n_pieces", "pieces_sha256", "lossless"}]
-    src = df.select(*kept, F.col(text).alias("__text"), F.col(key).cast("string").alias("__key"))
+    own, row = fresh(df.columns, "own", "row")
+    src = df.select(*map(named, kept), named(text).alias(own), named(key).cast("string").alias(row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
@@ -252,8 +252,8 @@ def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
             step = max(1, min(1000, batch.num_rows * slice_bytes // max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                texts = [t or "" for t in part.column("__text").to_pylist()]
-                found = model.sample(texts, [key_of(k or "", seed) for k in part.column("__key").to_pylist()], best)
+                texts = [t or "" for t in part.column(own).to_pylist()]
+                found = model.sample(texts, [key_of(k or "", seed) for k in part.column(row).to_pylist()], best)
                 cols = [part.column(c) for c in kept]
                 if pieces:
                     cols.append(pa.array([p.tolist() for p in found], pa.list_(pa.int32())))
@@ -264,7 +264,7 @@ def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
                 ]
                 yield pa.RecordBatch.from_arrays(cols, [*kept, *(f.name for f in made)])
 
-    return src.mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in kept), *made]))
+    return mapped(src, run, T.StructType([*(df.schema[c] for c in kept), *made]))
 
 
 def decode(df: DataFrame, path: str, pieces: str = "pieces", column: str = "decoded") -> DataFrame:
@@ -278,4 +278,4 @@ def decode(df: DataFrame, path: str, pieces: str = "pieces", column: str = "deco
             got = [model.decode(np.array(p or [], np.int64)) for p in batch.column(pieces).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, pa.string())], [*kept, column])
 
-    return df.select(*df.columns).mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in kept), T.StructField(column, T.StringType())]))
+    return mapped(df, run, T.StructType([*(df.schema[c] for c in kept), T.StructField(column, T.StringType())]))

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm._shared import lean, ship
+from tessella.llm._shared import fresh, mapped, named, ship
 from tessella.llm.toxicity import MAX_BYTES, sample
 
 PASSAGE = 64  # words
@@ -143,14 +144,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     """``docs`` with ``column``, 0 to 1. A null, empty or wordless text is a bag of one empty passage. Rows and other
     columns stay as they are; a column named like ``column`` is replaced."""
     ship(docs.sparkSession)
-    src = docs.drop(column).withColumn("__text", F.col(text).cast("binary"))
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
+    (own,) = fresh(docs.columns, "own")
+    src = docs.select(*map(named, kept), named(text).cast("binary").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                y = model.score([encode(t) for t in part.column("__text").to_pylist()]) if part.num_rows else np.zeros(0)
-                cols = [part.column(c) for c in part.schema.names[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(y.astype(float))], [*part.schema.names[:-1], column])
+                y = model.score([encode(t) for t in part.column(own).to_pylist()]) if part.num_rows else np.zeros(0)
+                cols = [part.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(y.astype(float))], [*kept, column])
 
-    return src.mapInArrow(lean(run), docs.drop(column).schema.add(column, "double"))
+    return mapped(src, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(column, T.DoubleType())]))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tessella.llm._shared import release, ship, stored
 
-GROUP = 8192  # different surroundings of one string that a task compares; larger groups are counted by window hash
+GROUP = 256  # different surroundings of one string that a task compares; larger groups are counted by window hash
 BROADCAST_BYTES = 48 << 20  # lists by document: broadcast up to here, shuffled beyond
 SLICE_BYTES = 2 << 20
 MAX_ROUNDS = 40

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm._shared import ship
+from tessella.llm._shared import fresh, mapped, named, ship
 
 #: Fixed value: the pattern that splits text before merges, as the tokenizer's byte-level splitter has it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -231,17 +231,15 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024
         made.append(T.StructField("prefix_tokens", T.ArrayType(T.IntegerType())))
     names = {f.name.lower() for f in made}
     kept = [c for c in df.columns if c.lower() not in names]
-    hidden = "__text" if text not in kept else text
-    src = df if text in kept else df.withColumn(hidden, df[text])
-    src = src.select(*kept, *([hidden] if hidden not in kept else []))
-    schema = T.StructType([*(src.schema[c] for c in kept), *made])
+    (own,) = fresh(df.columns, "own")
+    src = df.select(*map(named, kept), named(text).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = [t or "" for t in part.column(hidden).to_pylist()]
+                texts = [t or "" for t in part.column(own).to_pylist()]
                 counts = [c.count(t) for t in texts]
                 cols = [part.column(k) for k in kept]
                 cols += [
@@ -254,4 +252,4 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024
                     cols.append(pa.array([c.at_every_prefix(t)[1:].tolist() for t in texts], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [*kept, *(f.name for f in made)])
 
-    return src.mapInArrow(run, schema)
+    return mapped(src, run, T.StructType([*(df.schema[c] for c in kept), *made]))

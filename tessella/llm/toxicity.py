@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm._shared import lean, ship
+from tessella.llm._shared import fresh, mapped, named, ship
 
 #: Fixed value: letters (ASCII in lower case, all bytes beyond it) stay, everything else parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 39 else 32 for b in range(256))
@@ -143,15 +144,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     """``docs`` with ``column``, 0 to 1. A null or empty text has the score of a text without known words. Rows and other
     columns stay as they are; a column named like ``column`` is replaced."""
     ship(docs.sparkSession)
-    src = docs.drop(column).withColumn("__text", F.col(text).cast("binary"))
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
+    (own,) = fresh(docs.columns, "own")
+    src = docs.select(*map(named, kept), named(text).cast("binary").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                z = np.array([model.raw(t) for t in part.column("__text").to_pylist()])
-                cols = [part.column(c) for c in part.schema.names[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [*part.schema.names[:-1], column])
+                z = np.array([model.raw(t) for t in part.column(own).to_pylist()])
+                cols = [part.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [*kept, column])
 
-    schema = docs.drop(column).schema.add(column, "double")
-    return src.mapInArrow(lean(run), schema)
+    return mapped(src, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(column, T.DoubleType())]))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import _shared, ann, chat, decontam, lines, pieces, quality, simhash, suffix, tokencount, toxicity
@@ -190,7 +191,8 @@ def test_suffix_dedup_equals_brute_force(frame, monkeypatch):
     assert suffix.remove_repeats(frame([], DOC)).count() == 0
 
 
-def test_line_dedup_equals_brute_force(frame, monkeypatch):
+@pytest.mark.parametrize(("least_bytes", "least_words", "most"), [(10, 8, 1 << 20), (1, 3, 60), (20, 1000, 1 << 20)])
+def test_line_dedup_equals_brute_force(frame, monkeypatch, least_bytes, least_words, most):
     rng = random.Random(5)
     say = ["alpha", "beta", "gamma", "d", "eps", "zeta", "Eta", "theta"]
     base = [" ".join(rng.choice(say) for _ in range(n)) for n in (1, 3, 7, 8, 8, 9, 10, 12, 13, 14, 16, 17, 20, 33)]
@@ -202,26 +204,29 @@ def test_line_dedup_equals_brute_force(frame, monkeypatch):
             w[i : i + rng.choice([0, 1])] = [rng.choice(say)] * rng.choice([0, 1])
         return " ".join(w)
 
-    rows = [(d, "\n".join(edit(rng.choice(base)) for _ in range(rng.randint(0, 9)))) for d in range(60)] + [(100, None), (101, ""), (None, base[5])]
-    seen, want = [], {None: base[5]}
-    for d, t in rows[:-1]:
+    # ids 0 to 9 stand for two or three different texts
+    rows = [(d % 50, "\n".join(edit(rng.choice(base)) for _ in range(rng.randint(0, 9)))) for d in range(60)]
+    rows += [(3, f"{base[7]}\nits own second line is unique and must not go away"), (3, f"{base[7]}\n{base[8]}"), (100, None), (101, ""), (102, "long " * 5000), (102, "long " * 5000), (None, base[5])]
+    place = lambda r: (r[0], xxhash.xxh64_intdigest((r[1] or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 63))
+    seen, want = [], {(None, base[5]): base[5]}
+    for d, t in sorted({r for r in rows if r[0] is not None and r[1] is not None}, key=place):
         kept = []
-        for line in (t or "").split("\n"):
+        for line in t.split("\n"):
             w = lines.words_of(line.encode())
-            if len(b" ".join(w)) >= lines.MIN_BYTES:
-                again = any(w == s or (min(len(w), len(s)) >= lines.MIN_WORDS and lines.near(w, s)) for s in seen)
+            if w and len(b" ".join(w)) >= least_bytes:
+                again = any(w == s or (min(len(w), len(s)) >= least_words and lines.near(w, s)) for s in seen)
                 seen.append(w)
                 if again:
                     continue
             kept.append(line)
-        want[d] = "\n".join(kept) if t is not None else None
-    df = frame([(*r, "n") for r in rows], DOC + ", line string")
-    for few in (400_000, 3):
-        monkeypatch.setattr(lines, "BROADCAST_ROWS", few)
-        got = lines.dedup_lines(df)
-        assert {r.doc_id: r.text for r in got.collect()} == want
-    assert got.columns == ["doc_id", "text", "line", "n_lines", "n_removed"]
-    assert lines.dedup_lines(frame([], DOC)).count() == 0 and lines.dedup_lines(frame(EDGES, DOC)).count() == len(EDGES)
+        want[d, t] = "\n".join(kept)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", most)
+    names = DOC + ", th string, doc string, lost string, gone string, `a.b` string, line string, __gone string, `row` string"
+    got = lines.dedup_lines(frame([(*r, *([r[1]] * 8)) for r in rows], names), least_bytes=least_bytes, least_words=least_words)
+    assert got.columns == ["doc_id", "text", "th", "doc", "lost", "gone", "a.b", "line", "__gone", "row", "n_lines", "n_removed"]
+    assert Counter((r.doc_id, r.th, r.text) for r in got.collect()) == Counter((d, t, want.get((d, t), t)) for d, t in rows)
+    if most == 60:
+        assert lines.dedup_lines(frame([], DOC)).count() == 0 and lines.dedup_lines(frame(EDGES, DOC)).count() == len(EDGES)
 
 
 def test_neighbours_recall_ties_and_odd_vectors(frame, monkeypatch):
