@@ -14,6 +14,7 @@ instead of a drawn one.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import string
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ OFFSET, SHARPNESS, FALLBACK = 100.0, 1.5, 1e-9
 SCALE = 64.0  # per character, on every weight: keeps sums in range and changes no chance
 BASE = 0x100000001B3  # of the hash of stretches
 HELD = "\ud800"
-LONGEST = 4096  # characters of a word whose lattice is filtered at once; longer words are cut there
+CHUNK = 16384  # characters of a word whose lattice is held at once; longer words are filtered in chunks, as one lattice
 GAMMA = np.uint64(0x9E3779B97F4A7C15)  # fixed values of the splitmix64 generator
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -98,20 +99,12 @@ class Lattice:
         the text itself is held apart as a lone surrogate, which no text has, and is spelt in bytes."""
         if MARK in text:
             text = text.replace(MARK, HELD)
-        out = self.cut.findall(MARK + text.replace(" ", MARK))
-        if len(text) > LONGEST:
-            out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-        return out
+        return self.cut.findall(MARK + text.replace(" ", MARK))
 
-    def graph(self, words: list[str], best: bool = False) -> tuple[np.ndarray, ...]:
-        """Filter words together. Nodes are their characters, side by side. Returned: the end node of each word; of each
-        node its first edge; of each edge the chance of it or an earlier edge of its node, the node where it
-        starts (-1: the word's beginning) and its piece (below zero: a character to be spelt in bytes)."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size)
-        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    def edges(self, text: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of characters side by side, with their places in their words, the edges that end at each: node, length, piece
+        (below zero: a character to be spelt in bytes) and weight, in order of node and length."""
         n = len(text)
-        pos = np.arange(n) - np.repeat(end - size, size)
         at, h = np.arange(n), np.zeros(n, np.uint64)
         nodes, lengths, ids = [], [], []
         with np.errstate(over="ignore"):
@@ -140,7 +133,18 @@ class Lattice:
         piece = np.r_[piece, np.where(c < 128, self.ascii[np.minimum(c, 127)], -c)]
         weight = np.r_[weight, np.full(len(bare), FALLBACK * SCALE)]
         order = np.argsort(node, kind="stable")  # edges of a node stay in order of length
-        node, length, piece, weight = node[order], length[order], piece[order], weight[order]
+        return node[order], length[order], piece[order], weight[order]
+
+    def graph(self, words: list[str], best: bool = False) -> tuple[np.ndarray, ...]:
+        """Filter words together. Nodes are their characters, side by side. Returned: the end node of each word; of each
+        node its first edge; of each edge the chance of it or an earlier edge of its node, the node where it
+        starts (-1: the word's beginning) and its piece (below zero: a character to be spelt in bytes)."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(text)
+        pos = np.arange(n) - np.repeat(end - size, size)
+        node, length, piece, weight = self.edges(text, pos)
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         last = np.r_[first[1:], len(node)] - 1
         start = np.where(length > pos[node], -1, node - length)
@@ -172,21 +176,73 @@ class Lattice:
         chance[last] = 1.0
         return end - 1, first, chance, start, piece
 
+    def _chunk(self, word: str, lo: int, hi: int, before: list[float], best: bool) -> tuple[list, list[float]]:
+        """Filter characters ``lo`` to ``hi`` of a word, given the sums ``before`` at ``lo`` and up to ``longest`` places
+        earlier. Returned: of each character its edges, as running chance, length and piece; the last sums."""
+        base = lo + 1 - len(before)  # the place of the first of these sums
+        text = np.frombuffer(word[base:hi].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        node, length, piece, weight = self.edges(text, np.arange(len(text)))
+        first = np.searchsorted(node, np.arange(lo - base, len(text) + 1)).tolist()
+        length, piece, weight = length.tolist(), piece.tolist(), weight.tolist()
+        total, out = list(before), []
+        for i, (a, b) in enumerate(zip(first, first[1:], strict=False), len(before)):
+            part = [weight[e] * total[i - length[e]] for e in range(a, b)]
+            whole = max(part) if best else sum(part)
+            upto, row = 0.0, []
+            for e, x in zip(range(a, b), part, strict=True):
+                upto = max(upto, float(x >= whole)) if best else upto + x / whole
+                row.append((upto, length[e], piece[e]))
+            row[-1] = (1.0, *row[-1][1:])
+            out.append(row)
+            total.append(whole)
+            if i % self.longest == 0:  # only ratios matter: bring what pieces still reach back to near one
+                shift = -math.frexp(whole)[1]
+                total[-self.longest :] = [math.ldexp(x, shift) for x in total[-self.longest :]]
+        return out, total[-self.longest :]
+
+    def _long(self, word: str, key: int, count: int, best: bool) -> np.ndarray:
+        """A segmentation of one word of any length: forward over chunks, of which only the last sums are kept, then
+        backward over the same chunks, each filtered again."""
+        cuts = [*range(0, len(word), CHUNK), len(word)]
+        before = [[1.0]]
+        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+            before.append(self._chunk(word, lo, hi, before[-1], best)[1])
+        at, out, drawn = len(word), [], 0
+        u: list[float] = []
+        for lo, hi, sums in zip(reversed(cuts[:-1]), reversed(cuts[1:]), reversed(before), strict=True):
+            edges = self._chunk(word, lo, hi, sums, best)[0]
+            while at > lo:
+                if drawn % CHUNK == 0:
+                    u = uniforms(np.uint64(key), np.arange(count + drawn, count + drawn + CHUNK)).tolist()
+                x = u[drawn % CHUNK]
+                length, piece = next((n, p) for chance, n, p in edges[at - lo - 1] if x < chance)
+                out.append(piece)
+                at -= length
+                drawn += 1
+        return np.array(out[::-1], np.int64)
+
     def sample(self, texts: list[str], keys: list[int], best: bool = False) -> list[np.ndarray]:
         """A segmentation of each text."""
         number: dict[str, int] = {}
-        each, sizes = [], []
-        for t in texts:
+        each, sizes, offset, long_ones = [], [], [], []
+        for row, t in enumerate(texts):
             found = self.words(t) if t else []
             sizes.append(len(found))
-            each += [number.setdefault(w, len(number)) for w in found]
+            place = 0  # draws of a word are counted from its place in the text: it has no more than characters
+            for w in found:
+                offset.append(place)
+                place += len(w)
+                if len(w) > CHUNK:
+                    long_ones.append((len(each), row, w))
+                    w = MARK  # stands in
+                each.append(number.setdefault(w, len(number)))
         if not each:
             return [np.zeros(0, np.int64) for _ in texts]
         end_node, first, chance, start, piece = self.graph(list(number), best)
         sizes = np.array(sizes, np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         begin = np.cumsum(sizes) - sizes
-        count = (np.arange(len(row)) - begin[row]) * LONGEST
+        count = np.array(offset, np.int64)
         key = np.array(keys, np.uint64)[row]
         at, node, drawn = np.arange(len(row)), end_node[np.array(each, np.int64)], []
         long = np.zeros(len(row), np.int64)
@@ -202,10 +258,15 @@ class Lattice:
             node = start[edge]
             go = node >= 0
             at, node = at[go], node[go]
+        spelt = {i: self._long(w, keys[r], offset[i], best) for i, r, w in long_ones}
+        for i, got in spelt.items():
+            long[i] = len(got)
         end = np.cumsum(long)
         out = np.empty(int(end[-1]), np.int64)
         for step, (at, got) in enumerate(drawn):
             out[end[at] - 1 - step] = got
+        for i, got in spelt.items():
+            out[end[i] - len(got) : end[i]] = got
         border = np.r_[0, end][np.r_[begin, len(row)]]
         parts = [out[a:b] for a, b in zip(border[:-1], border[1:], strict=True)]
         return [self._spelt(p) if len(p) and p.min() < 0 else p for p in parts]
@@ -237,7 +298,7 @@ def segment(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", s
 
     Null and empty texts have no pieces and decode to the empty text. Rows keep their number and order; rows with equal
     key and text have equal pieces, a null key counts as the empty string; a column named like one that is made is
-    replaced. Words of over ``LONGEST`` characters are cut there. No shuffle; a worker holds the lattice of one slice of
+    replaced. A very long text is one task's work, also if it is one word. No shuffle; a worker holds the lattice of one slice of
     ``slice_bytes``, and larger slices share more words.
     """
     ship(df.sparkSession)

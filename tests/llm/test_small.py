@@ -70,6 +70,35 @@ def test_pieces_are_drawn_in_proportion():
     assert tuple(lattice.sample(["thens"], [5], best=True)[0].tolist()) == max(share, key=share.get)
 
 
+def test_long_words_are_one_lattice(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice(["the", "ing", "an", "x", "é", "語", "s", "ation"]) for _ in range(n)) for n in (3, 40, 400, 4000)]
+    keys = [pieces.key_of(str(i), 2) for i in range(len(words))]
+    texts = [f"{w} and {w}" for w in words]
+    assert max(map(len, words)) > 4096
+    whole = [[p.tolist() for p in lattice.sample(texts, keys, best)] for best in (False, True)]
+    for chunk in (1, 7, 100):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        assert [[p.tolist() for p in lattice.sample(texts, keys, best)] for best in (False, True)] == whole
+
+
+def test_long_words_are_drawn_in_proportion_across_chunks(monkeypatch):
+    word = "\x01" * 300 + "thens" + "\x01" * 300  # only bytes spell what stands around
+
+    def ways(s):
+        if s == 5:
+            return [((), 1.0)]
+        return [((p[0], *t), p[1] * w) for e in range(s + 1, 6) if (p := lattice.piece.get("thens"[s:e])) for t, w in ways(e)]
+
+    share = dict(ways(0))
+    total, n = sum(share.values()), 2000
+    monkeypatch.setattr(pieces, "CHUNK", 304)  # a border inside "thens", behind the mark and two of its letters
+    spelt = {lattice.byte_id[1], lattice.piece["▁"][0]}
+    seen = Counter(tuple(i for i in p.tolist() if i not in spelt) for p in lattice.sample([word] * n, [pieces.key_of(str(i), 0) for i in range(n)]))
+    assert set(seen) <= set(share) and len(share) > 3
+    assert all(abs(seen[k] / n - w / total) < 0.05 for k, w in share.items())
+
+
 def test_fingerprint_is_the_majority_of_hashes():
     rng = random.Random(1)
     for n in (0, 1, 2, 3, 4, 50):
