@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 ROWS_PER_FILE = 250_000
+BROADCAST_BYTES = 48 << 20  # tables that may be as large as the input are broadcast up to here, shuffled beyond
+ROW_BYTES = 64  # of a row of two numbers or a short id, as it is broadcast
 _made: dict[str, list[str]] = {}
 
 
@@ -105,6 +107,14 @@ def _drop(sc, top: str) -> None:
             pass
 
 
+def without(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without rows whose id and text hash are in ``rows(doc_id, th)``; null ids are ids like others."""
+    gone, th = fresh(docs.columns, "gone", "th")
+    rows = stored(rows.select(F.col("doc_id").alias(gone), F.col("th").alias(th)).distinct(), "gone")
+    few = F.broadcast(rows) if rows.count() * ROW_BYTES <= BROADCAST_BYTES else rows
+    return docs.join(few, named(doc_id).eqNullSafe(F.col(gone)) & (F.xxhash64(named(text).cast("binary")) == F.col(th)), "left_anti")
+
+
 def lean(run):
     """``run`` over batches that gives memory back when its input ends: workers live on and serve other operators, and
     what the allocator keeps would add up."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import lean, ship, stored
+from tessella.llm._shared import lean, named, ship, stored
 
 #: Fixed value: bytes that words are made of, digits, lower-case letters and all beyond ASCII; A-Z count as a-z.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -203,33 +203,33 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words inside an occurrence of a window),
+    """Per row of ``docs``: ``doc_id``, ``th`` (a hash of the text), ``n_words``, ``n_hit`` (words inside an occurrence of a window),
     ``longest_hit`` (the longest run of such words), ``n_items``, ``items_sha256``, ``items`` (ids, sorted as strings) and ``contaminated`` (a hit word in ``share`` or fewer words).
 
-    Null, empty and wordless texts have no words and are clean. Items that are null or have a null id are not searched
+    Null, empty and wordless texts have no words and are clean; a very long one is read whole, in one task. Items that are null or have a null id are not searched
     for; repeated items count once, two ids with one text count as two items. An empty benchmark leaves all clean.
     Repeated documents keep their rows. Only the named columns are read, so other columns cannot clash.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    src = docs.select(named(doc_id).alias("doc_id"), named(text).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     found = []
     blocks = _blocks(benchmark, item_id, item_text)
     several = len(blocks) > 1
     if several:
         src = stored(src.withColumn("row", F.monotonically_increasing_id()), "documents")
-    keys = ["doc_id", "row"] if several else ["doc_id"]
+    keys = ["doc_id", "th", "row"] if several else ["doc_id", "th"]
     for block in blocks:
         index = Index(sorted((r.item, bytes(r.text)) for r in block.collect()), window)  # bounded: one block
         counts = src.select("text").mapInArrow(lean(_counter(index)), "k long, number long, n long").groupBy("k", "number").agg(F.sum("n").alias("n"))
         index.choose({(r.k, r.number): r.n for r in counts.collect()})  # bounded: shingles of one block
-        ddl = f"doc_id {kind}, " + ("row long, " if several else "") + "n_words long, spans array<long>, items array<string>"
+        ddl = f"doc_id {kind}, th long, " + ("row long, " if several else "") + "n_words long, spans array<long>, items array<string>"
         found.append(src.mapInArrow(lean(_matcher(index, keys)), ddl))
     one = found[0]
     if several:
         for more in found[1:]:
             one = one.unionByName(more)
-        one = one.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
-    out = one.mapInArrow(lean(_summary), f"doc_id {kind}, n_words long, n_hit long, longest_hit long, n_items long, items_sha256 string, items array<string>")
+        one = one.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
+    out = one.mapInArrow(lean(_summary), f"doc_id {kind}, th long, n_words long, n_hit long, longest_hit long, n_items long, items_sha256 string, items array<string>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import fresh, lean, mapped, named, ship, stored
+from tessella.llm._shared import BROADCAST_BYTES, fresh, lean, mapped, named, ship, stored
 
 LEAST_BYTES = 10  # of the words of a line, default: shorter lines stay as they are
 LEAST_WORDS = 8  # default: shorter lines are only compared whole
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(BASE, -1, 1 << 64)
-BROADCAST_BYTES = 48 << 20  # lists of line numbers by document: broadcast up to here, shuffled beyond
 SLICE_BYTES = 3 << 20
 WHOLE, LEFT_OUT, PLACED = 0, 1, 2  # kinds of keys
 

@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, k=3)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, k=3).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items", "longest_hit")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("items", "longest_hit", "th")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ _LINE_WORDS = "regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 
 #: DuckDB SQL of those that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
-    # conversations of the test tables have fewer turns than a block: windows are walked turn by turn
+    # windows are walked turn by turn
     "op4_chat_format": f"""
 WITH RECURSIVE talk AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -1,12 +1,14 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
 Fingerprints that differ in at most ``k`` bits agree on at least one of the masks that leave out ``k`` of ``m`` bit
-blocks. For each mask the bits under it are the topmost node that its members share. Below it members stand in the
-order of their Gray rank, where neighbours share long bit patterns, and are cut into nodes; a node keeps the bits that
-all of its members share. The differences of two nodes' shared bits are a lower bound for every pair below them: where
-they exceed ``k`` the two groups are skipped whole, else their children add their own shared bits to the sum.
-Groups larger than ``NODE`` are cut into such nodes by a distributed pass, and each pair of nodes that is left is a task
-of bounded size. A task returns links to one member of each group it found, never all pairs.
+blocks. For each mask the bits under it are the root that its members share. Below it members stand in the order of their
+Gray rank, where neighbours share long bit patterns, and form a tree of nodes of ``FAN`` children; a node keeps the bits
+that all of its members share. Pairs of nodes are followed from the root down. The differences of two nodes' shared bits
+are a lower bound for every pair below them; a pair of children only adds the differences in bits that its parents did
+not share yet, and where the sum exceeds ``k`` both groups are skipped whole. At the leaves, single codes, the sum is
+their distance. Groups of all sizes are searched so. In those of over ``NODE`` members the upper levels are tables, and
+each pair of nodes of that size that is left is a task. A task returns links to one member of each group it found, never
+all pairs.
 
 Few bits alone find little more than copies: texts of which 80 % of the shingles are the same differ in about 10 bits, and
 radii that cover this do not part unlike texts any more. With a ``share``, bits only choose candidates, among texts that
@@ -21,15 +23,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import components, lean, ship, stored
+from tessella.llm._shared import BROADCAST_BYTES, ROW_BYTES, components, lean, named, ship, stored
 
 BITS = 64
 SEED = 42  # fixed value
 NODE = 2048  # members of a node that one task compares with another's
-LEAF = 32
+FAN = 4  # children of a node within a task
+UPPER = 64  # children of a node above
+PAIRS = 1 << 17  # pairs of nodes that are followed at once
 CHUNK = 1 << 16
 CERTAIN = 3  # differing bits up to which texts are taken as alike without a look at their shingles
 SHARE = 0.8  # common shingles of all that two texts have, from which on they are alike
@@ -63,7 +67,8 @@ def majority(h: list[int]) -> int:
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp long)`` for each row; null and wordless texts have fingerprint zero."""
+    """``(doc_id, th, fp)`` for each row, all but the id long; ``th`` is a hash of the text; null and wordless texts have
+    fingerprint zero."""
     ship(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
 
@@ -71,10 +76,14 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                fps = np.array([fingerprint(t or b"", width) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                fps = np.array([fingerprint(t or b"", width) for t in part.column("text").to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
+    return _source(df, doc_id, text).mapInArrow(lean(run), f"doc_id {kind}, th long, fp long")
+
+
+def _source(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(named(doc_id).alias("doc_id"), named(text).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def masks(n: int, k: int) -> list[int]:
@@ -104,39 +113,61 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def tree(codes: np.ndarray, size: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """Levels of the trees over groups that lie side by side, ``size`` codes each, in Gray order; from single codes up to
+    one node a group. Of each node: a member (``low``), the bits that all members share (``same``), and its first child
+    and number of children on the level below."""
+    start = np.cumsum(size) - size
+    levels = [{"low": codes, "high": codes, "same": np.full(len(codes), ~np.uint64(0))}]
+    while size.max(initial=1) > 1:
+        up = -(-size // FAN)
+        node = np.arange(up.sum())
+        first = np.repeat(start, up) + FAN * (node - np.repeat(np.cumsum(up) - up, up))
+        last = levels[-1]
+        low, high = np.bitwise_and.reduceat(last["low"], first), np.bitwise_or.reduceat(last["high"], first)
+        levels.append({"low": low, "high": high, "same": ~(low ^ high), "first": first, "count": np.diff(np.r_[first, len(last["low"])])})
+        size, start = up, np.cumsum(up) - up
+    return levels
+
+
+def follow(levels: list[dict[str, np.ndarray]], i: np.ndarray, j: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of codes below pairs ``(i, j)`` of top nodes that differ in at most ``k`` bits; below a pair of a node
+    with itself each pair comes once."""
+    both = levels[-1]["same"][i] & levels[-1]["same"][j]
+    sums = _bits((levels[-1]["low"][i] ^ levels[-1]["low"][j]) & both)
+    todo = [(len(levels) - 1, i, j, both, sums)]
+    while todo:
+        level, i, j, both, sums = todo.pop()
+        if level == 0:
+            pair = i != j
+            yield i[pair], j[pair]
+            continue
+        if len(i) > PAIRS:
+            for at in range(0, len(i), PAIRS):
+                todo.append((level, *(x[at : at + PAIRS] for x in (i, j, both, sums))))
+            continue
+        here, below = levels[level], levels[level - 1]
+        wide = here["count"][i] * here["count"][j]
+        pair = np.repeat(np.arange(len(i)), wide)
+        inner = np.arange(len(pair)) - np.repeat(np.cumsum(wide) - wide, wide)
+        x, y = (here["first"][i][pair] + inner // here["count"][j][pair], here["first"][j][pair] + inner % here["count"][j][pair])
+        fits = (i[pair] != j[pair]) | (x <= y)
+        x, y, pair = x[fits], y[fits], pair[fits]
+        shared = below["same"][x] & below["same"][y]
+        total = sums[pair] + _bits((below["low"][x] ^ below["low"][y]) & shared & ~both[pair])  # only what the parents did not count
+        live = total <= k
+        if live.any():
+            todo.append((level - 1, x[live], y[live], shared[live], total[live]))
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of codes in Gray order that differ in at most ``k`` bits: of ``a`` with ``b``, or within ``a``."""
-    own = b is None
-    b = a if own else b
-
-    def nodes(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        start = np.arange(0, len(x), size)
-        low, high = np.bitwise_and.reduceat(x, start), np.bitwise_or.reduceat(x, start)
-        return start, low, ~(low ^ high)
-
-    def live(na, nb, i, j):  # pairs of nodes whose shared bits do not differ in more than k places
-        keep = _bits((na[1][i] ^ nb[1][j]) & na[2][i] & nb[2][j]) <= k
-        return i[keep], j[keep]
-
-    top = LEAF * LEAF
-    ua, ub = nodes(a, top), nodes(b, top)
-    la, lb = nodes(a, LEAF), nodes(b, LEAF)
-    i, j = (x.ravel() for x in np.indices((len(ua[0]), len(ub[0]))))
-    if own:
-        i, j = i[i <= j], j[i <= j]
-    i, j = live(ua, ub, i, j)
-    per = np.arange(LEAF)
-    i = (i[:, None, None] * LEAF + per[None, :, None] + 0 * per[None, None, :]).ravel()
-    j = (j[:, None, None] * LEAF + 0 * per[None, :, None] + per[None, None, :]).ravel()
-    keep = (i < len(la[0])) & (j < len(lb[0])) & ((i <= j) if own else True)
-    i, j = live(la, lb, i[keep], j[keep])
-    for at in range(0, len(i), 1024):
-        x = (i[at : at + 1024, None, None] * LEAF + per[None, :, None] + 0 * per[None, None, :]).ravel()
-        y = (j[at : at + 1024, None, None] * LEAF + 0 * per[None, :, None] + per[None, None, :]).ravel()
-        keep = (x < len(a)) & (y < len(b)) & ((x < y) if own else True)
-        x, y = x[keep], y[keep]
-        near = _bits(a[x] ^ b[y]) <= k
-        yield x[near], y[near]
+    if b is None:
+        yield from follow(tree(a, np.array([len(a)])), np.zeros(1, np.int64), np.zeros(1, np.int64), k)
+        return
+    levels = tree(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    for x, y in follow(levels, np.zeros(1, np.int64), np.ones(1, np.int64), k):
+        yield x, y - len(a)
 
 
 def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -157,29 +188,25 @@ def _link(k: int):
     """Links within groups; rows come sorted by group, side and Gray rank; a group spans few batches and has two nodes
     at most."""
 
-    def small(grp: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
-        at = np.arange(len(fp) - 1)
-        for step in range(1, LEAF):
-            at = at[at + step < len(fp)]
-            at = at[grp[at] == grp[at + step]]
-            if not len(at):
-                return
-            hit = at[_bits(fp[at] ^ fp[at + step]) <= k]
-            yield np.stack([fp[hit], fp[hit + step]])
-
     def work(grp: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
         start = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
         size = np.diff(np.r_[start, len(grp)])
-        little = np.repeat((size <= LEAF) & (np.maximum.reduceat(side, start) == 0), size)
-        yield from small(grp[little], fp[little])
-        for s, n in zip(start, size, strict=True):
-            if little[s]:
-                continue
+        whole = np.maximum.reduceat(side, start) < 2
+        several = whole & (size > 1)
+        span = 1
+        while span < size[several].max(initial=1):  # trees of one height are followed together
+            span, least = span * FAN, span
+            pick = np.flatnonzero(several & (size > least) & (size <= span))
+            for at in range(0, len(pick), max(1, CHUNK // span)):
+                some = pick[at : at + max(1, CHUNK // span)]
+                own = np.repeat(start[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+                codes, top = fp[own], np.arange(len(some))
+                root = roots(len(codes), follow(tree(codes, size[some]), top, top, k))
+                hit = np.flatnonzero(root != np.arange(len(codes)))
+                yield np.stack([codes[hit], codes[root[hit]]])
+        for s, n in zip(start[~whole], size[~whole], strict=True):
             codes, cut = fp[s : s + n], int((side[s : s + n] < 2).sum())
-            if cut == n:
-                root = roots(n, close_pairs(codes, None, k))
-            else:
-                root = roots(n, ((x, y + cut) for x, y in close_pairs(codes[:cut], codes[cut:], k)))
+            root = roots(n, ((x, y + cut) for x, y in close_pairs(codes[:cut], codes[cut:], k)))
             hit = np.flatnonzero(root != np.arange(n))
             yield np.stack([codes[hit], codes[root[hit]]])
 
@@ -221,27 +248,18 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
         F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in kept))).alias("mask", "shared"),
     )
     sizes = member.groupBy("mask", "shared").agg(F.count("*").alias("n"))
-    s = F.ceil(F.col("n") / NODE)
-    hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared", s.alias("s")), "hot", members // NODE)
+    hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared"), "hot", members // NODE)
     grp = F.xxhash64("mask", "shared")
     if not hot.head(1):
         rows = member.select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray")
         return _grouped(rows, k)
-    # Large groups: cut at quantiles of the Gray rank into nodes, keep what each node's members share, pair the nodes.
-    mine = member.join(hot.select("mask", "shared", "s"), ["mask", "shared"])
-    cuts = mine.groupBy("mask", "shared", "s").agg(F.expr("percentile_approx(gray, transform(sequence(1, 64), i -> i / 65.0D), 1000)").alias("cuts"))
-    # at most 65 stretches of the order; in still larger groups a hash cuts each of them again, so nodes stay bounded
-    again = F.greatest(F.ceil(F.col("s") / 64), F.lit(1))
-    mine = mine.join(cuts.drop("s"), ["mask", "shared"])
-    step = F.greatest(F.floor(F.lit(64) / F.least("s", F.lit(64))), F.lit(1)).cast("int")
-    part = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("gray"))) / step).cast("int") * F.lit(1 << 20) + F.pmod(F.xxhash64("fp"), again).cast("int")
-    mine = stored(mine.select("mask", "shared", "fp", "gray", part.cast("long").alias("node")), "nodes", members)
-    node = mine.groupBy("mask", "shared", "node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
-    node = node.withColumn("same", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))))
-    x, y = node.alias("x"), node.alias("y")
-    differ = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low")).bitwiseAND(F.col("x.same")).bitwiseAND(F.col("y.same")))
-    meet = (F.col("x.mask") == F.col("y.mask")) & (F.col("x.shared") == F.col("y.shared")) & (F.col("x.node") <= F.col("y.node")) & (differ <= k)
-    pair = stored(x.join(y, meet).select("x.mask", "x.shared", F.col("x.node").alias("p"), F.col("y.node").alias("q")), "pairs")
+    # Large groups: stretches of the Gray order are nodes, whatever their number; keep what each node's members share.
+    order = ["mask", "shared", "gray"]
+    mine = member.join(hot, ["mask", "shared"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    mine = mine.select("mask", "shared", "fp", "gray", (F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.floor(at / NODE)).alias("node"))
+    mine = stored(mine, "nodes", members)
+    pair = stored(_node_pairs(mine.groupBy("mask", "shared", "node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")), k), "pairs")
     ends = pair.select(
         "mask", "shared", F.xxhash64("mask", "shared", "p", "q").alias("grp"),
         F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("node"), F.lit(1).alias("side")))).otherwise(F.array(F.struct(F.col("p").alias("node"), F.lit(1).alias("side")), F.struct(F.col("q").alias("node"), F.lit(2).alias("side"))))).alias("e"),
@@ -251,6 +269,32 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
     return _grouped(little.unionByName(large), k)
 
 
+def _node_pairs(node: DataFrame, k: int) -> DataFrame:
+    """``(mask, shared, p, q)``: pairs of nodes of one group whose shared bits differ in at most ``k`` places, found from
+    the top down. Upper nodes have ``UPPER`` children; only the topmost, ``UPPER`` in a group at most, meet all."""
+    keys = ["mask", "shared"]
+    same = F.bitwise_not(F.col("low").bitwiseXOR(F.col("high")))
+    levels = [stored(node.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("node")).cast("long") - 1), "level")]
+    most = levels[0].agg(F.max("rank")).first()[0] + 1
+    while most > UPPER:
+        up = levels[-1].groupBy(*keys, F.floor(F.col("rank") / UPPER).alias("up")).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"))
+        levels.append(stored(up.withColumnRenamed("up", "rank"), "level"))
+        most = -(-most // UPPER)
+    side = lambda level, c: levels[level].select(*keys, F.col("rank").alias(c), F.floor(F.col("rank") / UPPER).alias(f"{c}_up"), F.col("low").alias(f"{c}_low"), same.alias(f"{c}_same"))
+    both = F.col("p_same").bitwiseAND(F.col("q_same"))
+    differ = F.col("p_low").bitwiseXOR(F.col("q_low")).bitwiseAND(both)
+    top = len(levels) - 1
+    pairs = side(top, "p").join(side(top, "q"), keys).where("p <= q").select(*keys, "p", "q", both.alias("both"), F.bit_count(differ).alias("sum")).where(F.col("sum") <= k)
+    for level in range(top - 1, -1, -1):
+        pairs = stored(pairs, "pairs").select(*keys, F.col("p").alias("p_up"), F.col("q").alias("q_up"), F.col("both").alias("known"), F.col("sum").alias("before"))
+        pairs = pairs.join(side(level, "p"), [*keys, "p_up"]).join(side(level, "q"), [*keys, "q_up"]).where("p <= q")
+        total = F.col("before") + F.bit_count(differ.bitwiseAND(F.bitwise_not("known")))
+        pairs = pairs.select(*keys, "p", "q", both.alias("both"), total.alias("sum")).where(F.col("sum") <= k)
+    name = levels[0].select(*keys, "rank", "node")
+    named_ = lambda c: name.select(*keys, F.col("rank").alias(c), F.col("node").alias(f"{c}_node"))
+    return pairs.join(named_("p"), [*keys, "p"]).join(named_("q"), [*keys, "q"]).select(*keys, F.col("p_node").alias("p"), F.col("q_node").alias("q"))
+
+
 def _grouped(rows: DataFrame, k: int) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp", "side", "gray").select("grp", "side", "fp").mapInArrow(lean(_link(k)), "a long, b long")
 
@@ -270,7 +314,7 @@ def _sketch(width: int, sets: bool):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 fp, code, lists = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column("text").to_pylist():
                     words = (text or b"").lower().split()
                     h = hashes(words, width) if words else []
                     own = np.unique(np.array(h, np.uint64))
@@ -280,7 +324,7 @@ def _sketch(width: int, sets: bool):
                 ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
                 flat = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
                 longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fp, code)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "fp", "code", "list"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *longs, pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "th", "fp", "code", "list"])
 
     return run
 
@@ -332,8 +376,8 @@ def _alike_duplicates(df: DataFrame, doc_id: str, text: str, width: int, k: int,
     candidates; only their texts are read again, and each group that candidates form is compared in one task."""
     ship(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
-    src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    ddl = f"doc_id {kind}, fp long, code long, list array<bigint>"
+    src = _source(df, doc_id, text)
+    ddl = f"doc_id {kind}, th long, fp long, code long, list array<bigint>"
     rows = stored(src.mapInArrow(lean(_sketch(width, False)), ddl), "sketches")
     n = rows.count()
     codes = stored(rows.groupBy("code").agg(F.min("doc_id").alias("first")), "codes", n)
@@ -342,8 +386,9 @@ def _alike_duplicates(df: DataFrame, doc_id: str, text: str, width: int, k: int,
     edges = band.select(F.col("code").alias("a"), F.bitwise_not("key").alias("key")).join(shared, "key").select("a", "b")
     tree = components(edges, rows=n * BANDS)
     members = stored(tree.union(tree.select("root", "root")).distinct().toDF("code", "grp"), "members", n)
-    ids = codes.join(members, "code").select(F.col("first").alias("id")).distinct()
-    again = src.join(ids, src.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(lean(_sketch(width, True)), ddl)
+    ids = stored(codes.join(members, "code").select(F.col("first").alias("id")).distinct(), "ids", n)
+    few = F.broadcast(ids) if ids.count() * ROW_BYTES <= BROADCAST_BYTES else ids
+    again = src.join(few, src.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(lean(_sketch(width, True)), ddl)
     sets = again.join(members, "code").dropDuplicates(["code"]).select("grp", "code", "fp", "list")
     links = sets.repartition("grp").sortWithinPartitions("grp", "code").mapInArrow(lean(_verified(k, share)), "a long, b long")
     return _rooted(rows, codes, components(links, rows=n), "code", n)
@@ -353,16 +398,17 @@ def _rooted(rows: DataFrame, codes: DataFrame, tree: DataFrame, key: str, n: int
     rooted = codes.join(tree, codes[key] == tree.node, "left").select(key, "first", F.coalesce("root", key).alias("root"))
     rooted = stored(rooted, "rooted", n)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = rooted.join(least, "root").select(key, "component_id")
-    return rows.join(final, key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = rooted.join(least, "root").select(key, "component_id", "root")
+    return rows.join(final, key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "th")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, k: int = 3, share: float | None = None) -> DataFrame:
     """Per row of ``df``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, the least id that is reachable
-    over links of at most ``k`` differing bits, that also have ``share`` of their different shingles in common. By default
-    this is asked, with ``SHARE``, where ``k`` is over ``CERTAIN``; zero asks for bits alone.
+    over links of at most ``k`` differing bits, that also have ``share`` of their different shingles in common; ``root``,
+    a number of the component, since rows of one id may be in several; ``th``, a hash of the row's text. By default a share
+    is asked, ``SHARE``, where ``k`` is over ``CERTAIN``; zero asks for bits alone.
 
-    Null, empty and wordless texts have fingerprint zero and link like any other. Repeated ids keep their rows. A null
+    Null, empty and wordless texts have fingerprint zero and link like any other. A very long text is one task's work. Repeated ids keep their rows. A null
     id has a row, and is the component's id only where no other is there. An empty table gives an empty result. Only
     ``doc_id`` and ``text`` are read, so other columns cannot clash. Copies are one code from the start; the rows of a
     code meet their component in a join that Spark may split, so a code that a third of the rows share is no hot task.

@@ -12,7 +12,7 @@ a repeated string. Each step is a sort, join or aggregate over the cluster, no s
 
 Common strings also reach a little past their first and last anchors. Windows there belong to an anchor whose string is
 repeated; for those that are not covered yet, the texts around anchors with the same string are compared window by
-window. Groups too large for a task are counted by window hash instead.
+window. The windows of groups too large for a task are dealt to buckets by their hash and compared there.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import release, ship, stored
+from tessella.llm._shared import BROADCAST_BYTES, release, ship, stored
 
-GROUP = 256  # different surroundings of one string that a task compares; larger groups are counted by window hash
-BROADCAST_BYTES = 48 << 20  # lists by document: broadcast up to here, shuffled beyond
+GROUP = 256  # different surroundings of one string that a task compares; windows of larger groups are dealt by hash
+BUCKET = 64  # surroundings of a large group for each bucket that its windows are dealt to
 SLICE_BYTES = 2 << 20
 MAX_ROUNDS = 40
 MULT = 0xD1342543DE82EF95  # odd, for polynomial hashes modulo 2 ** 64
@@ -288,20 +288,83 @@ def _compare(window: int):
     return run
 
 
-def _explode(window: int):
-    """A row for each window of each surrounding."""
+def _kinds(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows that puts equal ones side by side, and the number of each row's kind in that order."""
+    order = np.lexsort(by)
+    new = np.zeros(len(order), bool)
+    for x in by:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    return order, np.cumsum(new)
+
+
+def _deal(window: int):
+    """Of large groups' surroundings, windows dealt by hash to as many buckets as the group's size asks for. Windows that
+    repeat among the rows at hand are decided: they come out as ``runs``, and go to their bucket once, as repeated
+    (``at`` -1); the others go with their place."""
+    ddl = ["g", "c", "runs", "bucket", "keys", "checks", "cs", "ats"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                key, check, text, at = _windows(part.column("around").to_pylist(), part.column("offset").to_numpy(zero_copy_only=False), window)
-                took = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column("g").take(took), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), part.column("c").take(took), part.column("n").take(took), pa.array(at.astype(np.int32))], ["g", "key", "check", "c", "n", "at"])
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                g, c, n, offset, buckets = (part.column(k).to_numpy(zero_copy_only=False) for k in ("g", "c", "n", "offset", "buckets"))
+                key, check, text, at = _windows(part.column("around").to_pylist(), offset, window)
+                order, kind = _kinds(check, key, g[text])
+                total = np.bincount(kind, weights=n[text][order])
+                hit = np.empty(len(key), bool)
+                hit[order] = total[kind] > 1
+                first = np.zeros(len(key), bool)
+                first[order[np.r_[True, kind[1:] != kind[:-1]][: len(kind)]]] = True
+                out = [[x, y, r, None, None, None, None, None] for x, y, r in zip(g.tolist(), c.tolist(), _runs(text, at, hit, len(g)), strict=True) if r]
+                send = np.flatnonzero(first)  # a window that is not repeated here is its kind's first
+                bucket = (key[send] % buckets[text[send]].astype(np.uint64)).astype(np.int64)
+                by = np.lexsort((bucket, g[text[send]]))
+                send, bucket = send[by], bucket[by]
+                own = g[text[send]]
+                cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1]), True]) if len(send) else []
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    w = send[a:b]
+                    out.append([int(own[a]), None, None, int(bucket[a]), key[w].view(np.int64), check[w].view(np.int64), c[text[w]], np.where(hit[w], -1, at[w]).astype(np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ddl)
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of a bucket that occur in it twice, or once as repeated: the starts of each surrounding's; rows come sorted
+    by group and bucket."""
+
+    def work(rows: list[dict]) -> list[tuple[int, int, list[int]]]:
+        key, check, c, at = (np.concatenate([r[k] for r in rows]) for k in ("keys", "checks", "cs", "ats"))
+        order, kind = _kinds(check, key)
+        c, at = c[order], at[order]
+        hit = (np.bincount(kind)[kind] > 1) & (at >= 0)
+        c, at = c[hit], at[hit]
+        by = np.argsort(c, kind="stable")
+        c, at = c[by], at[by]
+        cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]) if len(c) else []
+        return [(rows[0]["g"], int(c[a]), at[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def batch_of(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["g", "c", "starts"])
+
+    held: list[dict] = []
+    for batch in batches:
+        found = []
+        for i in range(batch.num_rows):
+            row = {k: batch.column(k)[i].as_py() for k in ("g", "bucket")} | {k: batch.column(k)[i].values.to_numpy() for k in ("keys", "checks", "cs", "ats")}
+            if held and (held[0]["g"], held[0]["bucket"]) != (row["g"], row["bucket"]):
+                found += work(held)
+                held = []
+            held.append(row)
+        held = [r | {k: r[k].copy() for k in ("keys", "checks", "cs", "ats")} for r in held]
+        yield batch_of(found)
+    if held:
+        yield batch_of(work(held))
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of window starts to runs."""
     for part in batches:
@@ -319,14 +382,14 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str, column: str, width:
 
 
 def _ahead(enough: int):
-    """Of each phrase, the names and lengths from it on until they cover ``enough`` bytes; rows come sorted by sequence
-    and place."""
+    """Of each phrase, the second hashes and lengths from it on until they cover ``enough`` bytes; rows come sorted by
+    sequence and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32, np.int64)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int64)]
 
         def out(cols):
-            seq, j, name, cover, p, check = cols
+            seq, j, cover, p, check = cols
             n = len(seq)
             new = np.r_[True, (seq[1:] != seq[:-1]) | (j[1:] != j[:-1] + 1)][:n]
             first = np.flatnonzero(new)
@@ -335,11 +398,11 @@ def _ahead(enough: int):
             end = np.minimum(np.searchsorted(upto, upto - cover + enough) + 1, stop)
             ends = np.r_[0, np.cumsum(end - np.arange(n))]
             at = np.repeat(np.arange(n) - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
-            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[at])) for v in (name, check, cover.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(j), pa.array(p), *lists], ["seq", "j", "p", "names", "checks", "sizes"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[at])) for v in (check, cover.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(j), pa.array(p), *lists], ["seq", "j", "p", "checks", "sizes"])
 
         for batch in batches:
-            cols = [np.concatenate([a, batch.column(k).to_numpy(zero_copy_only=False)]) for a, k in zip(held, ("seq", "j", "name", "cover", "p", "check"), strict=True)]
+            cols = [np.concatenate([a, batch.column(k).to_numpy(zero_copy_only=False)]) for a, k in zip(held, ("seq", "j", "cover", "p", "check"), strict=True)]
             if len(cols[0]):
                 cut = int(np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[-1])  # the last sequence may go on
                 yield out([c[:cut] for c in cols])
@@ -384,16 +447,16 @@ def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     twice = stored(twice, "twice")
     phrases = stored(places.where("name <> 0").join(twice, "name").select(F.col("row").alias("seq"), "j", "name", "check", F.col("length").cast("long").alias("cover"), "p"), "phrases")
     ranks = suffix_ranks(phrases.select("seq", "j", "name", "cover"), window - gram)
-    ahead = phrases.repartition("seq").sortWithinPartitions("seq", "j").mapInArrow(_ahead(window - gram), "seq long, j int, p int, names array<bigint>, checks array<bigint>, sizes array<int>")
-    order = _ordered(ahead.join(ranks, ["seq", "j"]).select(F.col("seq").alias("row"), "p", "names", "checks", "sizes", "rank"), "order", "rank")
-    own = F.struct("row", "p", "names", "checks", "sizes")
+    ahead = phrases.repartition("seq").sortWithinPartitions("seq", "j").mapInArrow(_ahead(window - gram), "seq long, j int, p int, checks array<bigint>, sizes array<int>")
+    order = _ordered(ahead.join(ranks, ["seq", "j"]).select(F.col("seq").alias("row"), "p", "checks", "sizes", "rank"), "order", "rank")
+    own = F.struct("row", "p", "checks", "sizes")
     pairs = order.select(own.alias("x"), F.lag(own).over(Window.partitionBy("part").orderBy("at")).alias("y"))
     ends = order.groupBy("part").agg(F.min_by(own, "at").alias("x"), F.max_by(own, "at").alias("l"))  # one row for each part
     ends = ends.select("x", F.lag("l").over(Window.orderBy("part")).alias("y"))
-    pairs = pairs.unionByName(ends).where(F.col("x.names")[0] == F.col("y.names")[0])
-    # what two neighbours share: phrases up to the first that differs, and the string at the anchor behind them
-    # names are sorted by one hash, and count as equal if a second one agrees
-    same = F.zip_with(F.arrays_zip("x.names", "x.checks"), F.arrays_zip("y.names", "y.checks"), lambda a, b: a.eqNullSafe(b))
+    pairs = pairs.unionByName(ends).where(F.col("x.checks")[0] == F.col("y.checks")[0])
+    # What two neighbours share: phrases up to the first that differs, and the string at the anchor behind them. One hash
+    # has put them side by side; what counts is whether the other one, which does not depend on it, agrees.
+    same = F.zip_with("x.checks", "y.checks", lambda a, b: a.eqNullSafe(b))
     equal = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
     size = F.aggregate(F.slice("x.sizes", F.lit(1), equal), F.lit(0), lambda a, n: a + n) + gram
     pairs = pairs.withColumn("size", size).where(F.col("size") >= window)
@@ -418,17 +481,16 @@ def repeated_spans(src: DataFrame, window: int) -> DataFrame:
     wanted = kinds.groupBy("doc", "th").agg(F.collect_list(F.struct("g", "c", "n", "p", "lo", "hi")).alias("wanted"))
     texts = _with_lists(src, stored(wanted, "wanted"), "inner", "wanted", 48).select("text", "wanted")
     texts = stored(texts.mapInArrow(_cut(window), "g long, c long, n long, offset int, around binary").dropDuplicates(["g", "c"]), "around")
-    big = texts.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > GROUP).select("g")
+    big = texts.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > GROUP)
     big = stored(big, "big")
-    small = texts.join(big, "g", "left_anti").repartition("g").sortWithinPartitions("g")
+    small = texts.join(big.select("g"), "g", "left_anti").repartition("g").sortWithinPartitions("g")
     runs = small.mapInArrow(_compare(window), "g long, c long, runs array<int>")
     if big.head(1):
-        each = texts.join(big, "g").mapInArrow(_explode(window), "g long, key long, check long, c long, n long, at int")
-        each = stored(each, "windows")
-        double = each.groupBy("g", "key", "check").agg(F.sum("n").alias("total")).where("total > 1").select("g", "key", "check")
-        hits = each.join(stored(double, "double"), ["g", "key", "check"])  # two plain tables, so that Spark may split the join
-        hits = hits.groupBy("g", "c").agg(F.collect_list("at").alias("starts"))  # windows of one surrounding, a bounded number
-        runs = runs.unionByName(hits.mapInArrow(_gathered, "g long, c long, runs array<int>"))
+        dealt = texts.join(big.select("g", F.ceil(F.col("kinds") / BUCKET).alias("buckets")), "g").mapInArrow(_deal(window), "g long, c long, runs array<int>, bucket long, keys array<bigint>, checks array<bigint>, cs array<bigint>, ats array<int>")
+        dealt = stored(dealt, "dealt")
+        met = dealt.where("bucket is not null").select("g", "bucket", "keys", "checks", "cs", "ats").repartition("g", "bucket").sortWithinPartitions("g", "bucket").mapInArrow(_meet, "g long, c long, starts array<int>")
+        met = met.groupBy("g", "c").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # windows of one surrounding, a bounded number
+        runs = runs.unionByName(dealt.where("runs is not null").select("g", "c", "runs")).unionByName(met.mapInArrow(_gathered, "g long, c long, runs array<int>"))
     runs = runs.select("g", "c", F.explode(F.expr("transform(sequence(0, greatest(size(runs), 1) - 1, 2), i -> struct(get(runs, i) as a, get(runs, i + 1) as b))")).alias("r")).where("r.a is not null").select("g", "c", "r.a", "r.b")
     more = left.where("not covered").join(stored(runs, "runs"), ["g", "c"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + window).alias("end"))
     first = places.select("doc", "th", "row").distinct().join(marked, "row").select("doc", "th", F.col("s").alias("start"), F.col("e").alias("end"))

@@ -27,8 +27,8 @@ from tessella.llm._shared import fresh, mapped, named, ship
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or b == 39 else 32 for b in range(256))
 PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that are features of their own
 
-# Bounds of the training sample: rows, and bytes of a text.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 2000, 5000, 50_000
+# Bounds of the training sample, defaults: texts of each kind, and bytes of all texts of a kind together.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 2000, 5000, 32 << 20
 
 
 # What a feature must have: rows and share of the positives, times its share in harmless text, standard deviations.
@@ -122,27 +122,43 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
     return Model(float(w[-1]), {f[1:]: x for f, x in weight.items() if f[:1] == b"="}, {f[1:]: x for f, x in weight.items() if f[:1] == b"^"})
 
 
-def sample(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str, max_bytes: int) -> DataFrame:
-    """Texts of ``n`` of the ids, drawn by a hash of the id. ``ids`` is cut to ``n`` rows before it is broadcast, and the
-    texts are cut again, since an id may be repeated."""
-    few = ids.select(F.col(doc_id).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(n)
-    got = docs.join(F.broadcast(few), docs[doc_id] == few["__id"]).select("__id", F.substring(F.col(text).cast("binary"), 1, max_bytes + 1).alias("text"))
-    return got.where(F.octet_length("text") <= max_bytes).limit(n)
-
-
-def fit(docs: DataFrame, labels: DataFrame, in_training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def sample(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str, max_bytes: int) -> list[bytes]:
+    """Texts of ``n`` of the ids, drawn by a hash of the id, whole and of any length: in the order of that hash, as many
+    as have ``max_bytes`` bytes together. Repeated rows count once, an id with several texts has them all."""
+    few = ids.select(named(doc_id).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(n)
+    rows = docs.select(named(doc_id).alias("id"), named(text).cast("binary").alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(few), "id").select("id", F.xxhash64("text").alias("th"), "text")  # few has n rows at most
+    sizes = rows.groupBy("id", "th").agg(F.min(F.octet_length("text")).alias("size")).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "th").limit(n).collect()
+    left, chosen = max_bytes, []
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r["id"], r["th"]))
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([few.schema["id"], T.StructField("th", T.LongType())]))
+    return [bytes(r["text"]) for r in rows.join(F.broadcast(wanted), ["id", "th"]).dropDuplicates(["id", "th"]).select("text").collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, in_training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = MAX_POSITIVE, unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> Model:
     """Train on documents for whose id ``in_training`` holds. Only ``label`` = 1 is believed; other labels serve for the
-    share of toxic texts alone."""
+    share of toxic texts alone.
+
+    The sample has at most ``positives`` confirmed toxic and ``unlabelled`` other texts, each kind at most ``max_bytes``
+    bytes together; texts in it are whole. Null ids, null texts and null labels take no part, repeated rows count once.
+    Without toxic texts, as with empty tables, the model calls every text harmless.
+    """
     mine = labels.where(in_training)
-    share = mine.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
-    positive = [bytes(r.text) for r in sample(docs, mine.where(F.col(label) == 1), MAX_POSITIVE, doc_id, text, MAX_BYTES).collect()]
-    unlabelled = [bytes(r.text) for r in sample(docs, docs.where(in_training), MAX_UNLABELLED, doc_id, text, MAX_BYTES).collect()]
-    return train(sorted(positive), sorted(unlabelled), min(max(share or 0.0, 1e-3), 0.9))
+    share = mine.where(named(label).isNotNull()).agg(F.avg((named(label) == 1).cast("double"))).first()[0]
+    toxic = sample(docs, mine.where(named(label) == 1), positives, doc_id, text, max_bytes)
+    other = sample(docs, docs.where(in_training), unlabelled, doc_id, text, max_bytes)
+    return train(sorted(toxic), sorted(other), min(max(share or 0.0, 1e-3), 0.9))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with ``column``, 0 to 1. A null or empty text has the score of a text without known words. Rows and other
-    columns stay as they are; a column named like ``column`` is replaced."""
+    """``docs`` with ``column``, 0 to 1. A null or empty text has the score of a text without known words; a very long
+    one is read whole, in one task. Rows, repeated ones too, and other columns stay as they are, whatever their names; a
+    column named like ``column`` is replaced. An empty table stays empty."""
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != column.lower()]
     (own,) = fresh(docs.columns, "own")

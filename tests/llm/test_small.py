@@ -83,7 +83,7 @@ def test_long_words_are_one_lattice(monkeypatch):
 
 
 def test_long_words_are_drawn_in_proportion_across_chunks(monkeypatch):
-    word = "\x01" * 300 + "thens" + "\x01" * 300  # only bytes spell what stands around
+    word = "\x01" * 300 + "thens" + "\x01" * 300  # no piece has one beside a letter
 
     def ways(s):
         if s == 5:
@@ -93,7 +93,7 @@ def test_long_words_are_drawn_in_proportion_across_chunks(monkeypatch):
     share = dict(ways(0))
     total, n = sum(share.values()), 2000
     monkeypatch.setattr(pieces, "CHUNK", 304)  # a border inside "thens", behind the mark and two of its letters
-    spelt = {lattice.byte_id[1], lattice.piece["▁"][0]}
+    spelt = {lattice.piece["\x01"][0], lattice.piece["▁"][0]}
     seen = Counter(tuple(i for i in p.tolist() if i not in spelt) for p in lattice.sample([word] * n, [pieces.key_of(str(i), 0) for i in range(n)]))
     assert set(seen) <= set(share) and len(share) > 3
     assert all(abs(seen[k] / n - w / total) < 0.05 for k, w in share.items())
