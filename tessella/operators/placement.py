@@ -52,44 +52,49 @@ def grid_dots(px: DataFrame, p: Params) -> DataFrame:
     return _numbered(g, "j", "i").select(*DOT)
 
 
+def _packed(px: DataFrame) -> DataFrame:
+    """Pixels as tiles; loops pack them once and hand them on."""
+    return px if "bytes" in px.columns else assign.tiles(px)
+
+
 def dots_from_seeds(px: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:
     """A dot for each seed that has pixels: their mean colour, a radius from their mean density, limited by the nearest
-    seed."""
-    sums = assign.tiled_sums(px, seeds.withColumnRenamed("seed_id", "center_id"), _middle, lambda f: f[["r", "g", "b", "density"]].to_numpy(float), ["sr", "sg", "sb", "sd"])
+    seed. ``px`` are pixels or tiles."""
+    sums = assign.tiled_sums(_packed(px), seeds.withColumnRenamed("seed_id", "center_id"), _middle, lambda f: np.stack([f[c] for c in ("r", "g", "b", "density")], 1), ["sr", "sg", "sb", "sd"])
     sums = sums.withColumnRenamed("center_id", "seed_id").withColumn("d", F.col("sd") / F.col("n")).join(px.select("img_id", "w", "h").distinct(), "img_id")
     g = sums.join(assign.nn_radius(seeds), ["img_id", "seed_id"]).withColumns({c: F.floor(F.col(f"s{c}") / F.col("n")).cast("int") for c in "rgb"})
     radius = F.least(dot_radius(luminance(), F.col("d"), F.least("w", "h").cast("double"), p), F.col("nn") * 0.8)
     return _numbered(g.withColumn("radius", radius), "seed_id").select(*DOT)
 
 
-def _middle(f):
+def _middle(f, pixels: bool):
     """Where a pixel has its middle; seeds are where they are."""
-    return f[["x", "y"]].to_numpy(float) + (0.5 if "density" in f else 0.0)
+    return np.stack([f["x"], f["y"]], 1) + (0.5 if pixels else 0.0)
+
+
+def _scaled(f, pixels: bool):
+    """Place and colour, each from 0 to 1."""
+    return np.stack([f["x"] / f["w"], f["y"] / f["h"], f["r"] / 255.0, f["g"] / 255.0, f["b"] / 255.0], 1)
 
 
 def lloyd_step(px: DataFrame, seeds: DataFrame, sensitivity: float) -> DataFrame:
     """Seeds moved to the weighted middle of their pixels, weight density ** (1 + 3 * sensitivity); a seed without
-    weight stays."""
+    weight stays. ``px`` are pixels or tiles."""
     power = 1.0 + 3.0 * sensitivity
 
     def sums(f):
-        w = np.power(f["density"].to_numpy(), power)
-        return np.stack([w * (f["x"].to_numpy() + 0.5), w * (f["y"].to_numpy() + 0.5), w], 1)
+        w = np.power(f["density"], power)
+        return np.stack([w * (f["x"] + 0.5), w * (f["y"] + 0.5), w], 1)
 
-    moved = assign.tiled_sums(px, seeds.withColumnRenamed("seed_id", "center_id"), _middle, sums, ["wx", "wy", "ws"])
+    moved = assign.tiled_sums(_packed(px), seeds.withColumnRenamed("seed_id", "center_id"), _middle, sums, ["wx", "wy", "ws"])
     moved = moved.where("ws > 0").select("img_id", F.col("center_id").alias("seed_id"), (F.col("wx") / F.col("ws")).alias("nx"), (F.col("wy") / F.col("ws")).alias("ny"))
     return seeds.join(moved, ["img_id", "seed_id"], "left").select("img_id", "seed_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
 
 
 def kmeans_step(px: DataFrame, centers: DataFrame) -> DataFrame:
-    """Centres moved to the mean place and colour of their pixels; an empty one stays."""
+    """Centres moved to the mean place and colour of their pixels; an empty one stays. ``px`` are pixels or tiles."""
     cols = ["x", "y", "r", "g", "b"]
-
-    def scaled(f):
-        w, h = f["w"].to_numpy(float), f["h"].to_numpy(float)
-        return np.stack([f["x"] / w, f["y"] / h, f["r"] / 255.0, f["g"] / 255.0, f["b"] / 255.0], 1).astype(float)
-
-    moved = assign.tiled_sums(px, centers, scaled, lambda f: f[cols].to_numpy(float), [f"s{c}" for c in cols])
+    moved = assign.tiled_sums(_packed(px), centers, _scaled, lambda f: np.stack([f[c] for c in cols], 1), [f"s{c}" for c in cols])
     moved = moved.select("img_id", "center_id", *((F.col(f"s{c}") / F.col("n")).alias(f"n{c}") for c in cols))
     return centers.join(moved, ["img_id", "center_id"], "left").select("img_id", "center_id", *(F.coalesce(f"n{c}", c).alias(c) for c in cols))
 
@@ -113,8 +118,9 @@ def voronoi_seeds(px: DataFrame, p: Params) -> DataFrame:
 
 def voronoi_dots(px: DataFrame, p: Params, progress: Progress | None = None, cancelled=None) -> DataFrame:
     seeds = cut_lineage(voronoi_seeds(px, p))
-    seeds = _loop(seeds, lambda s: lloyd_step(px, s, p.variance_sensitivity), p, progress, cancelled)
-    return dots_from_seeds(px, seeds, p)
+    packed = cut_lineage(assign.tiles(px))
+    seeds = _loop(seeds, lambda s: lloyd_step(packed, s, p.variance_sensitivity), p, progress, cancelled)
+    return dots_from_seeds(packed, seeds, p)
 
 
 def kmeans_centers(px: DataFrame, p: Params) -> DataFrame:
@@ -132,7 +138,8 @@ def dots_from_centers(px: DataFrame, centers: DataFrame, p: Params) -> DataFrame
 
 
 def kmeans_dots(px: DataFrame, p: Params, progress: Progress | None = None, cancelled=None) -> DataFrame:
-    centers = _loop(cut_lineage(kmeans_centers(px, p)), lambda c: kmeans_step(px, c), p, progress, cancelled)
+    packed = cut_lineage(assign.tiles(px))
+    centers = _loop(cut_lineage(kmeans_centers(px, p)), lambda c: kmeans_step(packed, c), p, progress, cancelled)
     return dots_from_centers(px, centers, p)
 
 
