@@ -74,14 +74,18 @@ def convert(spark: SparkSession, source: str, pattern: str, p: Params, svg: bool
     if preview:
         px = raster.downscale(px, *preview)
     default = pattern == "output.png"
+    kind = pattern.lower().rpartition(".")[2] if "." in pattern.rpartition("/")[2] and not pattern.endswith("{name}") else "png"
+    if not svg and kind not in sinks.WITH_ALPHA + sinks.WITHOUT_ALPHA:
+        raise ValueError(f"images cannot be written as {kind}")
     order = spark.createDataFrame([(name, i) for i, name in enumerate(names)], "img_id string, number int")
     out: DataFrame
     if svg:
         out, data = sinks.svg_documents(rendering.render_svg(px, p)), "svg"
     else:
-        out, data = sinks.encode_png(rendering.apply_rgba(px, p) if p.transparent else rendering.apply(px, p)), "png"
-    tail = lambda c: F.element_at(F.split(c, "/"), -1)  # noqa: E731  readers spell the scheme of a path in several ways
-    out = out.join(order.select(tail(F.col("img_id")).alias("file"), "number"), tail(F.col("img_id")) == F.col("file"))
+        got = rendering.apply_rgba(px, p) if p.transparent else rendering.apply(px, p)
+        out, data = sinks.encode(got if kind in sinks.WITH_ALPHA else rendering.flatten(got, p.bg_color), kind), "data"
+    one = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/*", "$1:/")  # noqa: E731  readers spell the scheme of a path in several ways
+    out = out.join(order.select(one(F.col("img_id")).alias("file"), "number"), one(F.col("img_id")) == F.col("file"))
     out = out.withColumn("path", sinks.output_path(F.col("img_id"), F.col("number"), len(names), pattern, svg, default))
     out = out.select("path", data).cache()
     sinks.write_files(out, "path", data)
@@ -107,7 +111,11 @@ def main(argv: list[str] | None = None) -> int:
         print("--input is missing", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("tessella").getOrCreate()
-    convert(spark, a.input, a.output, p, a.svg, preview)
+    try:
+        convert(spark, a.input, a.output, p, a.svg, preview)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
     return 0
 
 

@@ -76,7 +76,8 @@ def quantize_dots(dots: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
 
 def diffuse(px: DataFrame, palette: DataFrame) -> DataFrame:
     """Floyd-Steinberg error diffusion to the palette, row by row from the left. Each pixel depends on the ones before
-    it, so an image is one task; images run side by side. An image with fewer than two colours stays as it is."""
+    it, so an image is one task; images run side by side. Pixels of one x + 2 y do not depend on one another and are one
+    step. An image with fewer than two colours stays as it is."""
     import numpy as np
     import pandas as pd
 
@@ -89,16 +90,17 @@ def diffuse(px: DataFrame, palette: DataFrame) -> DataFrame:
         buf[:h, 1 : w + 1] = pix[["r", "g", "b"]].to_numpy().reshape(h, w, 3)
         colors = pal.sort_values("palette_id")[["r", "g", "b"]].to_numpy(np.float32)
         out = np.empty((h, w, 3), np.int32)
-        for y in range(h):
-            for x in range(1, w + 1):
-                old = buf[y, x]
-                new = colors[((colors - old) ** 2).sum(1).argmin()]
-                err = (old - new) / np.float32(16)
-                out[y, x - 1] = new
-                buf[y, x + 1] += err * 7
-                buf[y + 1, x - 1] += err * 3
-                buf[y + 1, x] += err * 5
-                buf[y + 1, x + 1] += err
+        for step in range(w + 2 * (h - 1)):
+            y = np.arange(max(0, (step - w + 2) // 2), min(h - 1, step // 2) + 1)
+            x = step - 2 * y + 1
+            old = buf[y, x]
+            new = colors[((colors - old[:, None]) ** 2).sum(2).argmin(1)]
+            err = (old - new) / np.float32(16)
+            out[y, x - 1] = new
+            buf[y + 1, x - 1] += err * 3  # in the order in which a walk along rows would add them
+            buf[y, x + 1] += err * 7
+            buf[y + 1, x] += err * 5
+            buf[y + 1, x + 1] += err
         return pix.assign(r=out[..., 0].ravel(), g=out[..., 1].ravel(), b=out[..., 2].ravel())
 
     palette = palette.toDF(*palette.columns)  # columns of its own: both sides may come from one table

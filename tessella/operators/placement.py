@@ -17,6 +17,7 @@ from tessella.params import Params
 from tessella.sources.scratch import cut_lineage
 
 Progress = Callable[[int, int], None]
+Show = Callable[[int, int, DataFrame], None]
 
 
 class Cancelled(RuntimeError):
@@ -99,15 +100,17 @@ def kmeans_step(px: DataFrame, centers: DataFrame) -> DataFrame:
     return centers.join(moved, ["img_id", "center_id"], "left").select("img_id", "center_id", *(F.coalesce(f"n{c}", c).alias(c) for c in cols))
 
 
-def _loop(state: DataFrame, step, p: Params, progress: Progress | None, cancelled: Callable[[], bool] | None) -> DataFrame:
+def _loop(state: DataFrame, step, p: Params, progress: Progress | None, cancelled: Callable[[], bool] | None, show: Show | None, dots) -> DataFrame:
     """State is a row for each point; it is written after each round, so plans do not grow and a lost executor costs
-    one round at most."""
+    one round at most. ``show`` is told the dots of each round, which are only computed if it uses them."""
     for i in range(p.iterations):
         if cancelled and cancelled():
             raise Cancelled("cancelled")
         state = cut_lineage(step(state))
         if progress:
             progress(i + 1, p.iterations)
+        if show:
+            show(i + 1, p.iterations, dots(state))
     return state
 
 
@@ -116,10 +119,10 @@ def voronoi_seeds(px: DataFrame, p: Params) -> DataFrame:
     return at.select("img_id", F.col("sample_id").cast("long").alias("seed_id"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
 
 
-def voronoi_dots(px: DataFrame, p: Params, progress: Progress | None = None, cancelled=None) -> DataFrame:
+def voronoi_dots(px: DataFrame, p: Params, progress: Progress | None = None, cancelled=None, show: Show | None = None) -> DataFrame:
     seeds = cut_lineage(voronoi_seeds(px, p))
     packed = cut_lineage(assign.tiles(px))
-    seeds = _loop(seeds, lambda s: lloyd_step(packed, s, p.variance_sensitivity), p, progress, cancelled)
+    seeds = _loop(seeds, lambda s: lloyd_step(packed, s, p.variance_sensitivity), p, progress, cancelled, show, lambda s: dots_from_seeds(packed, s, p))
     return dots_from_seeds(packed, seeds, p)
 
 
@@ -137,9 +140,9 @@ def dots_from_centers(px: DataFrame, centers: DataFrame, p: Params) -> DataFrame
     return _numbered(got, "center_id").select(*DOT)
 
 
-def kmeans_dots(px: DataFrame, p: Params, progress: Progress | None = None, cancelled=None) -> DataFrame:
+def kmeans_dots(px: DataFrame, p: Params, progress: Progress | None = None, cancelled=None, show: Show | None = None) -> DataFrame:
     packed = cut_lineage(assign.tiles(px))
-    centers = _loop(cut_lineage(kmeans_centers(px, p)), lambda c: kmeans_step(packed, c), p, progress, cancelled)
+    centers = _loop(cut_lineage(kmeans_centers(px, p)), lambda c: kmeans_step(packed, c), p, progress, cancelled, show, lambda c: dots_from_centers(px, c, p))
     return dots_from_centers(px, centers, p)
 
 

@@ -172,24 +172,27 @@ leaves AS (SELECT * FROM ends e WHERE NOT EXISTS (SELECT 1 FROM ends a WHERE len
 QUAD_DOTS = f"SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS dot_id, (x0 + nw / 2.0)::DOUBLE AS x, (y0 + nh / 2.0)::DOUBLE AS y, r, g, b, round(greatest({radius(LUM, 'least(least(nw, nh) / 48.0, 1)', '48.0', Params())}, 1), 6) AS radius FROM leaves"
 
 
-def _refined(first: str, rows: str, rounds: int) -> str:
-    out, last = f", k0 AS ({first})", "k0"
+def _refined(first: str, rows: str, still: float, rounds: int) -> str:
+    """Rounds of k-means, until no centre moves by more than the root of ``still``."""
+    out, last, go = f", k0 AS MATERIALIZED ({first}), go0 AS MATERIALIZED (SELECT true AS go)", "k0", "go0"
     for i in range(1, rounds + 1):
         near = "min_by(palette_id, struct_pack(d := (c.r-p.r)*(c.r-p.r) + (c.g-p.g)*(c.g-p.g) + (c.b-p.b)*(c.b-p.b), i := palette_id))"
-        out += f""", q{i} AS (SELECT c.id, any_value(c.r) AS r, any_value(c.g) AS g, any_value(c.b) AS b, {near} AS palette_id FROM {rows} c, {last} p GROUP BY c.id),
-k{i} AS (SELECT o.palette_id, coalesce(n.r, o.r) AS r, coalesce(n.g, o.g) AS g, coalesce(n.b, o.b) AS b FROM {last} o LEFT JOIN (SELECT palette_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM q{i} GROUP BY palette_id) n USING (palette_id))"""
-        last = f"k{i}"
+        moved = ", ".join(f"CASE WHEN go THEN coalesce(n.{c}, o.{c}) ELSE o.{c} END AS {c}" for c in "rgb")
+        out += f""", q{i} AS MATERIALIZED (SELECT c.id, any_value(c.r) AS r, any_value(c.g) AS g, any_value(c.b) AS b, {near} AS palette_id FROM {rows} c, {last} p GROUP BY c.id),
+k{i} AS MATERIALIZED (SELECT o.palette_id, {moved} FROM {go}, {last} o LEFT JOIN (SELECT palette_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM q{i} GROUP BY palette_id) n USING (palette_id)),
+go{i} AS MATERIALIZED (SELECT bool_or((a.r-b.r)*(a.r-b.r) + (a.g-b.g)*(a.g-b.g) + (a.b-b.b)*(a.b-b.b) > {still!r}) AS go FROM {last} a JOIN k{i} b USING (palette_id))"""
+        last, go = f"k{i}", f"go{i}"
     return out + f" SELECT palette_id, {', '.join(f'CAST(trunc({c}) AS INT) AS {c}' for c in 'rgb')} FROM {last}"
 
 
-def palette_of_dots(rounds: int) -> str:
+def palette_of_dots(rounds: int = 10) -> str:
     first = "SELECT CAST(dot_id // 8 AS INT) AS palette_id, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM dots WHERE dot_id % 8 = 0 AND dot_id // 8 < 6"
-    return f"WITH {DENSITY}, {grid(GRID8)}, rows0 AS (SELECT dot_id AS id, r, g, b FROM dots)" + _refined(first, "rows0", rounds)
+    return f"WITH {DENSITY}, {grid(GRID8)}, rows0 AS (SELECT dot_id AS id, r, g, b FROM dots)" + _refined(first, "rows0", 0.5, rounds)
 
 
-def dominant(rounds: int) -> str:
+def dominant(rounds: int = 10) -> str:
     first = "SELECT CAST(id // 614 AS INT) AS palette_id, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM rows0 WHERE id % 614 = 0 AND id // 614 < 5"
-    return f"WITH {CANVAS}, rows0 AS (SELECT y * 64 + x AS id, r, g, b FROM canvas)" + _refined(first, "rows0", rounds)
+    return f"WITH {CANVAS}, rows0 AS (SELECT y * 64 + x AS id, r, g, b FROM canvas)" + _refined(first, "rows0", 1.0, rounds)
 
 
 CMYK = """inks AS (SELECT *, 1 - greatest(r, g, b) / 255.0::DOUBLE AS k FROM canvas),
@@ -260,14 +263,61 @@ done AS (SELECT c.x, c.y, coalesce(v, {start}) AS v FROM canvas c LEFT JOIN stac
 SELECT x, y, {", ".join(f"v.{c} AS {c}" for c in cols.split(", "))} FROM done"""
 
 
-SVG = f"""WITH {DENSITY}, {grid(GRID20)} SELECT CAST(row_number() OVER (ORDER BY radius DESC, dot_id) AS INT) AS place,
-'  <circle cx="' || printf('%.1f', x) || '" cy="' || printf('%.1f', y) || '" r="' || printf('%.1f', radius) || '" fill="#' || printf('%02x%02x%02x', r, g, b) || '"/>' AS element FROM dots WHERE radius >= 0.5"""
+def svg(shape: str) -> str:
+    n = lambda v: f"printf('%.1f', {v})"
+    pairs = {
+        "circle": [("cx", n("x")), ("cy", n("y")), ("r", n("radius"))],
+        "square": [("x", n("x - radius")), ("y", n("y - radius")), ("width", n("radius * 2")), ("height", n("radius * 2"))],
+        "ellipse": [("cx", n("x")), ("cy", n("y")), ("rx", n("radius")), ("ry", n(f"greatest(radius / {SHAPES['ellipse'].aspect}, 0.5)")), ("transform", f"'rotate({SHAPES['ellipse'].angle_deg:.1f},' || {n('x')} || ',' || {n('y')} || ')'")],
+        "polygon": [("points", " || ' ' || ".join(f"{n(f'x + radius * ({math.cos(a)!r})::DOUBLE')} || ',' || {n(f'y + radius * ({math.sin(a)!r})::DOUBLE')}" for a in (2 * math.pi * i / SHAPES["polygon"].sides - math.pi / 2 for i in range(SHAPES["polygon"].sides))))],
+    }[shape]
+    name = {"square": "rect"}.get(shape, shape)
+    text = " || ".join(f"' {k}=\"' || {v} || '\"'" for k, v in pairs)
+    return f"""WITH {DENSITY}, {grid(GRID20)} SELECT '{shape}' AS shape, CAST(row_number() OVER (ORDER BY radius DESC, dot_id) AS INT) AS place,
+'  <{name}' || {text} || ' fill="#' || printf('%02x%02x%02x', r, g, b) || '"/>' AS element FROM dots WHERE radius >= 0.5"""
+
+
+SVG = " UNION ALL ".join(f"({svg(shape)})" for shape in SHAPES)
+
+_STEP = "(({}) * 6364136223846793005::HUGEINT + 1442695040888963407) % 18446744073709551616::HUGEINT"
+
+
+def fm_replayed() -> str:
+    """One generator for each channel, walked from point to point: a draw for each, and three more where a dot is kept."""
+    points = halftone("am", "SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY j, i) AS n, i, j, cx, cy, r, g, b, mean FROM mean WHERE mean > 0.005")
+    low, high = "(48 * 0.002::DOUBLE)", "(4 * 0.425::DOUBLE)"
+    u = lambda s: f"(CAST({s} // 4294967296::HUGEINT AS DOUBLE) / 4294967295.0::DOUBLE)"
+    draws = f"SELECT *, {_STEP.format('s3')} AS s4 FROM (SELECT *, {_STEP.format('s2')} AS s3 FROM (SELECT *, {_STEP.format('s1')} AS s2 FROM (SELECT *, {_STEP.format('state')} AS s1 FROM ({{}}))))"
+    first = "SELECT p.*, (7 * 11400714819323198485::HUGEINT + r * 1099511627776::HUGEINT + g * 16777216::HUGEINT + b) % 18446744073709551616::HUGEINT AS state FROM points p WHERE n = 1"
+    then = f"SELECT p.*, CASE WHEN {u('w.s1')} <= w.mean THEN w.s4 ELSE w.s1 END AS state FROM walk w JOIN points p ON p.channel = w.channel AND p.n = w.n + 1"
+    return f"""WITH RECURSIVE points AS MATERIALIZED ({points}), walk AS ({draws.format(first)} UNION ALL {draws.format(then)}),
+final AS (SELECT channel, i, j, cx + ({u('s2')} - 0.5) * 4 * 0.4::DOUBLE AS x, cy + ({u('s3')} - 0.5) * 4 * 0.4::DOUBLE AS y, {low} + ({high} - {low}) * (0.7::DOUBLE + 0.3::DOUBLE * {u('s4')}) AS radius FROM walk WHERE {u('s1')} <= mean)
+SELECT channel, i, j, round(x, 6) AS x, round(y, 6) AS y, round(radius, 6) AS radius FROM final WHERE radius >= 0.5"""
+
+
+def diffused() -> str:
+    """A walk along the rows, pixel by pixel, with what earlier errors have made of the present and the next row."""
+    colors = ", ".join(f"struct_pack(r := {r}::FLOAT, g := {g}::FLOAT, b := {b}::FLOAT)" for r, g, b in COLORS)
+    near = f"list_sort(list_transform([{colors}], lambda k, i: struct_pack(d := (k.r - o.r) * (k.r - o.r) + (k.g - o.g) * (k.g - o.g) + (k.b - o.b) * (k.b - o.b), i := i, k := k)))[1].k"
+    add = lambda row, parts: f"list_transform({row}, lambda v, i: CASE {' '.join(f'WHEN i = x + {at} THEN struct_pack(r := v.r + e.r * {n}::FLOAT, g := v.g + e.g * {n}::FLOAT, b := v.b + e.b * {n}::FLOAT)' for at, n in parts)} ELSE v END)"
+    zero = "struct_pack(r := 0::FLOAT, g := 0::FLOAT, b := 0::FLOAT)"
+    err = ", ".join(f"{c} := (o.{c} - k.{c}) / 16::FLOAT" for c in "rgb")
+    # place i of a row's list, from 1, is the pixel i - 2: one place more at either end
+    return f"""WITH RECURSIVE {CANVAS}, line AS MATERIALIZED (SELECT y, list_concat(list_concat([{zero}], list(struct_pack(r := r::FLOAT, g := g::FLOAT, b := b::FLOAT) ORDER BY x)), [{zero}]) AS v FROM canvas GROUP BY y
+  UNION ALL SELECT 48, list_transform(range(66), lambda i: {zero})),
+walk AS (SELECT -1 AS x, -1 AS y, (SELECT v FROM line WHERE y = 0) AS here, (SELECT v FROM line WHERE y = 1) AS below, {zero} AS k
+  UNION ALL SELECT x, y, {add("here", [(3, 7)])}, {add("below", [(1, 3), (2, 5), (3, 1)])}, k
+  FROM (SELECT *, struct_pack({err}) AS e FROM (SELECT *, {near} AS k FROM (SELECT *, here[x + 2] AS o FROM (
+    SELECT CASE WHEN last THEN 0 ELSE w.x + 1 END AS x, w.y + CAST(last AS INT) AS y, CASE WHEN last AND w.y >= 0 THEN below ELSE here END AS here, CASE WHEN last AND w.y >= 0 THEN line.v ELSE below END AS below
+    FROM (SELECT *, y < 0 OR x = 63 AS last FROM walk) w LEFT JOIN line ON line.y = w.y + 2 WHERE NOT (w.x = 63 AND w.y = 47))))))
+SELECT x, y, CAST(k.r AS INT) AS r, CAST(k.g AS INT) AS g, CAST(k.b AS INT) AS b FROM walk WHERE y >= 0"""
+
 
 _NEAREST = "min_by({cols}, struct_pack(d := (c.r-p.r)*(c.r-p.r) + (c.g-p.g)*(c.g-p.g) + (c.b-p.b)*(c.b-p.b), i := palette_id))"
 _D2 = "min((c.r-p.r)*(c.r-p.r) + (c.g-p.g)*(c.g-p.g) + (c.b-p.b)*(c.b-p.b))"
 
 QUANTIZED = f"""SELECT dot_id, v.r AS r, v.g AS g, v.b AS b FROM (SELECT c.dot_id, {_NEAREST.format(cols="struct_pack(r := p.r, g := p.g, b := p.b)")} AS v
-FROM (WITH {DENSITY}, {grid(GRID8)} SELECT * FROM dots) c, ({palette_of_dots(2)}) p GROUP BY c.dot_id)"""
+FROM (WITH {DENSITY}, {grid(GRID8)} SELECT * FROM dots) c, ({palette_of_dots()}) p GROUP BY c.dot_id)"""
 
 SEPARATED = f"""SELECT x, y, channel, round(least(greatest((1 - least(greatest(d2 / (255.0::DOUBLE * 255.0 * 1.5), 0), 1)) * 1.3::DOUBLE, 0), 1), 6) AS coverage, channel * 36.0::DOUBLE + 15 AS angle
-FROM (SELECT c.x, c.y, CAST({_NEAREST.format(cols="palette_id")} AS INT) AS channel, {_D2} AS d2 FROM (WITH {CANVAS} SELECT * FROM canvas) c, ({dominant(2)}) p GROUP BY c.x, c.y)"""
+FROM (SELECT c.x, c.y, CAST({_NEAREST.format(cols="palette_id")} AS INT) AS channel, {_D2} AS d2 FROM (WITH {CANVAS} SELECT * FROM canvas) c, ({dominant()}) p GROUP BY c.x, c.y)"""

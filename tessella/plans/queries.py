@@ -300,13 +300,23 @@ def quadtree_dots(spark, sf_dir):
 # Palettes and inks
 
 
-@query(O.palette_of_dots(2))
+@query(O.palette_of_dots())
 def palette_centers(spark, sf_dir):
+    return palette.palette_of_dots(small_dots(spark, sf_dir), 6).select("palette_id", "r", "g", "b")
+
+
+@query(O.palette_of_dots(2))
+def palette_two_rounds(spark, sf_dir):
     return palette.palette_of_dots(small_dots(spark, sf_dir), 6, rounds=2).select("palette_id", "r", "g", "b")
 
 
-@query(O.dominant(2))
+@query(O.dominant())
 def dominant_colors(spark, sf_dir):
+    return palette.dominant_colors(px(spark, sf_dir), 5).select("palette_id", "r", "g", "b")
+
+
+@query(O.dominant(2))
+def dominant_two_rounds(spark, sf_dir):
     return palette.dominant_colors(px(spark, sf_dir), 5, rounds=2).select("palette_id", "r", "g", "b")
 
 
@@ -317,7 +327,7 @@ def distinct_colors(spark, sf_dir):
 
 @query(O.QUANTIZED)
 def quantize_dots(spark, sf_dir):
-    return palette.quantize_dots(small_dots(spark, sf_dir), 6, rounds=2).select("dot_id", "r", "g", "b")
+    return palette.quantize_dots(small_dots(spark, sf_dir), 6).select("dot_id", "r", "g", "b")
 
 
 @query(f"WITH {O.CANVAS}, {O.CMYK} SELECT x, y, channel, round(coverage, 9) AS coverage FROM planes")
@@ -327,7 +337,7 @@ def cmyk_separation(spark, sf_dir):
 
 @query(O.SEPARATED)
 def dominant_separation(spark, sf_dir):
-    return halftone.separate_dominant(px(spark, sf_dir), 5, 15.0, rounds=2).select("x", "y", "channel", *r6("coverage"), "angle")
+    return halftone.separate_dominant(px(spark, sf_dir), 5, 15.0).select("x", "y", "channel", *r6("coverage"), "angle")
 
 
 def _screen(spark: SparkSession) -> DataFrame:
@@ -351,6 +361,13 @@ def halftone_fm(spark, sf_dir):
     return halftone.screened(halftone.separate_cmyk(px(spark, sf_dir), Halftone().angles), replace(O.CMYK12, screening="fm", rng_seed=7)).select("channel", "i", "j", *r6("x", "y", "radius"))
 
 
+@query(O.fm_replayed())
+def halftone_fm_replay(spark, sf_dir):
+    from dataclasses import replace
+
+    return halftone.screened(halftone.separate_cmyk(px(spark, sf_dir), Halftone().angles), replace(O.CMYK12, screening="fm-replay", rng_seed=7)).select("channel", "i", "j", *r6("x", "y", "radius"))
+
+
 @query(O.halftone("am", "SELECT CAST(row_number() OVER (ORDER BY channel, j, i) - 1 AS BIGINT) AS dot_id, round(x, 6) AS x, round(y, 6) AS y, r, g, b, round(radius, 6) AS radius FROM final"))
 def halftone_dots(spark, sf_dir):
     return halftone.halftone_dots(px(spark, sf_dir), O.CMYK12).select("dot_id", *r6("x", "y", "radius"), "r", "g", "b")
@@ -384,14 +401,16 @@ def render_multiply(spark, sf_dir):
     return raster.render_multiply(small_dots(spark, sf_dir), rendering.sizes(px(spark, sf_dir)), Shape(), (255, 255, 255), False).select("x", "y", "r", "g", "b", "a")
 
 
-@query()
+@query(O.diffused())
 def dither_fs(spark, sf_dir):
     return palette.diffuse(px(spark, sf_dir), four_colors(spark)).select("x", "y", "r", "g", "b")
 
 
 @query(O.SVG)
 def svg_elements(spark, sf_dir):
-    return svg.svg_elements(placement.grid_dots(detailed(spark, sf_dir), O.GRID20), Shape()).select("place", "element")
+    dots = cut_lineage(placement.grid_dots(detailed(spark, sf_dir), O.GRID20))
+    each = [svg.svg_elements(dots, shape).select(F.lit(name).alias("shape"), "place", "element") for name, shape in O.SHAPES.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
 @query("SELECT p_partkey, 'out/' || printf('%0' || length(CAST((SELECT count(*) FROM part) AS VARCHAR)) || 'd', p_partkey) || '-' || regexp_replace(f, '\\.[^.]*$', '') || '.svg' AS path FROM (SELECT p_partkey, 'p' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.tar.png' ELSE '.jpeg' END AS f FROM part)")

@@ -53,14 +53,15 @@ def checked(px: DataFrame, p: Params) -> Params:
     return p
 
 
-def compute_dots(px: DataFrame, p: Params, progress=None, cancelled: Callable[[], bool] | None = None) -> DataFrame:
-    """``(img_id, dot_id, x, y, r, g, b, radius)``."""
+def compute_dots(px: DataFrame, p: Params, progress=None, cancelled: Callable[[], bool] | None = None, show: placement.Show | None = None) -> DataFrame:
+    """``(img_id, dot_id, x, y, r, g, b, radius)``. ``progress`` is told the number of each round and of all, ``show`` the
+    round's rendered pixels too."""
     checked(px, p)
     if cancelled and cancelled():
         raise placement.Cancelled("cancelled")
     if p.gamma_correct:
         lin, q = _linear(px, p)
-        return _encoded(compute_dots(lin, q, progress, cancelled))
+        return _encoded(compute_dots(lin, q, progress, cancelled, show and (lambda i, n, image: show(i, n, _encoded(image)))))
     if _is_halftone(p):
         dots = halftone.halftone_dots(px, p)
     else:
@@ -70,20 +71,23 @@ def compute_dots(px: DataFrame, p: Params, progress=None, cancelled: Callable[[]
         elif p.algorithm == "quadtree":
             dots = placement.quadtree_dots(px, p)
         else:
-            return {"voronoi": placement.voronoi_dots, "kmeans": placement.kmeans_dots}[p.algorithm](px, p, progress, cancelled)
+            drawn = show and (lambda i, n, dots: show(i, n, raster.render(dots, sizes(px), p.dot_shape, p.bg_color)))
+            return {"voronoi": placement.voronoi_dots, "kmeans": placement.kmeans_dots}[p.algorithm](px, p, progress, cancelled, drawn)
     if progress:
         progress(1, 1)
+    if show:
+        show(1, 1, raster.render(dots, sizes(px), p.dot_shape, p.bg_color))
     return dots
 
 
-def apply(px: DataFrame, p: Params, progress=None, cancelled=None) -> DataFrame:
+def apply(px: DataFrame, p: Params, progress=None, cancelled=None, show=None) -> DataFrame:
     """Rendered pixels. Halftone multiplies inks; else dots are laid over the background, in palette colours or diffused
     to them if that is asked for."""
     checked(px, p)
     if p.gamma_correct:
         lin, q = _linear(px, p)
-        return _encoded(apply(lin, q, progress, cancelled))
-    dots = cut_lineage(compute_dots(px, p, progress, cancelled))
+        return _encoded(apply(lin, q, progress, cancelled, show and (lambda i, n, image: show(i, n, _encoded(image)))))
+    dots = cut_lineage(compute_dots(px, p, progress, cancelled, show))
     at = sizes(px)
     if _is_halftone(p):
         return raster.render_multiply(dots, at, p.dot_shape, p.bg_color, p.transparent).drop("a")

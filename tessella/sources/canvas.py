@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "tiff", "tif", "gif")
+#: Extensions of image files. Of these the JVM has no reader for WebP, such files count as not decoded.
+EXTENSIONS = ("bmp", "gif", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 
 
 def raster(spark: SparkSession, w: int, h: int, img_id: str = "0") -> DataFrame:
