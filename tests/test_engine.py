@@ -268,3 +268,71 @@ def test_one_decimal_is_exact(spark):
     values = [0.25, 0.35, 0.75, 0.05, 0.15, 22.85, 49.85, 1e-9, 123456.25, -0.25, -3.15, 0.0, 9.95, 9.96]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(color.one_decimal(F.col("v"))).collect()] == [f"{v:.1f}" for v in values]
+
+
+@pytest.mark.parametrize("kind", ["png", "bmp", "tif", "tiff"])
+def test_images_by_extension_in_bands(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(sinks, "BAND", 100)  # five rows of 19 pixels
+    px = canvas.mosaic(spark, 19, 33)
+    sinks.write_files(sinks.encode(px, kind).select(F.lit(str(tmp_path / f"a.{kind}")).alias("path"), "data"), "path", "data")
+    got = canvas.read_images(spark, str(tmp_path))
+    cols = ["x", "y", "r", "g", "b"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, px.select(*cols).collect()))
+    if kind == "png":
+        clear = px.withColumn("a", F.col("x") * 3)
+        sinks.write_files(sinks.encode(clear, kind).select(F.lit(str(tmp_path / "b.png")).alias("path"), "data"), "path", "data")
+        got = canvas.read_images(spark, str(tmp_path / "b.png"))
+        assert sorted(map(tuple, got.select(*cols, "a").collect())) == sorted(map(tuple, clear.select(*cols, "a").collect()))
+
+
+def test_jpeg_and_formats_that_are_refused(spark, tmp_path):
+    px = canvas.solid(spark, 16, 16, (200, 100, 50))
+    sinks.write_files(sinks.encode(px, "jpg").select(F.lit(str(tmp_path / "a.jpg")).alias("path"), "data"), "path", "data")
+    assert (tmp_path / "a.jpg").read_bytes()[:2] == b"\xff\xd8"
+    got = canvas.read_images(spark, str(tmp_path)).select("r", "g", "b").distinct().collect()
+    assert all(abs(a - b) <= 4 for r in got for a, b in zip(r, (200, 100, 50), strict=True))
+    for kind, image in (("webp", px), ("jpg", px.withColumn("a", F.lit(9))), ("bmp", px.withColumn("a", F.lit(9)))):
+        with pytest.raises(ValueError):
+            sinks.encode(image, kind)
+
+
+def test_equal_file_names_in_several_folders(spark, tmp_path):
+    from tessella.__main__ import convert
+
+    for k, color in (("one", (0, 0, 0)), ("two", (200, 0, 0))):
+        sinks.write_files(sinks.encode(canvas.solid(spark, 24, 24, color)).select(F.lit(str(tmp_path / k / "a.png")).alias("path"), "data"), "path", "data")
+    p = Params(algorithm="grid", cols=4, bg_color=(128, 128, 128), transparent=True)
+    assert convert(spark, f"{tmp_path}/*/a.png", f"{tmp_path}/out/{{n}}-{{stem}}.bmp", p, False, None) == 2
+    darkest = {}
+    for r in canvas.read_images(spark, f"{tmp_path}/out").groupBy("img_id").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).collect():
+        darkest[r.img_id.rpartition("/")[2]] = (r.lo, r.hi)
+    assert darkest == {"0-a.bmp": (0, 128), "1-a.bmp": (128, 200)}
+
+
+def test_rounds_can_be_shown(spark):
+    px, seen = canvas.checkerboard(spark, 16, 12), []
+    for algorithm, rounds in (("voronoi", 2), ("kmeans", 2), ("grid", 1)):
+        rendering.compute_dots(px, Params(algorithm=algorithm, num_points=6, cols=4, iterations=2), show=lambda i, n, image: seen.append((i, n, image.count())))
+        assert seen == [(i + 1, rounds, 16 * 12) for i in range(rounds)]
+        seen.clear()
+
+
+def test_tiles_keep_only_centres_that_can_win(spark, monkeypatch):
+    """Clusters of centres far from most tiles: sums equal those over all pairs."""
+    monkeypatch.setattr(assign, "TILE", 16)
+    rng = np.random.default_rng(3)
+    px = canvas.mosaic(spark, 70, 50)
+    at = np.r_[rng.uniform(0, 6, (40, 2)), rng.uniform(0, 50, (5, 2))]
+    seeds = spark.createDataFrame([("0", i, float(x), float(y)) for i, (x, y) in enumerate(at)], "img_id string, seed_id long, x double, y double")
+    got = {r.seed_id: (r.x, r.y) for r in placement.lloyd_step(px.withColumn("density", F.lit(1.0)), seeds, 0.7).collect()}
+    x, y = np.meshgrid(np.arange(70) + 0.5, np.arange(50) + 0.5)
+    best = ((x.ravel()[:, None] - at[:, 0]) ** 2 + (y.ravel()[:, None] - at[:, 1]) ** 2).argmin(1)
+    for i in range(len(at)):
+        own = best == i
+        want = (x.ravel()[own].mean(), y.ravel()[own].mean()) if own.any() else tuple(at[i])
+        assert got[i] == pytest.approx(want)
+    near = {r.seed_id: r.nn for r in assign.nn_radius(seeds).collect()}
+    d = np.sqrt(((at[:, None] - at) ** 2).sum(2)) + np.diag([np.inf] * len(at))
+    assert all(near[i] == pytest.approx(d[i].min() / 2) for i in range(len(at)))
+    found = {(r.x, r.y): r.seed_id for r in assign.nearest_seed(px, seeds).collect()}
+    assert all(found[int(a), int(b)] == k for a, b, k in zip(x.ravel(), y.ravel(), best, strict=True))
