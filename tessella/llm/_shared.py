@@ -18,6 +18,7 @@ ROOT = Path(__file__).resolve().parents[2]
 ROWS_PER_FILE = 250_000
 BROADCAST_BYTES = 48 << 20  # tables that may be as large as the input are broadcast up to here, shuffled beyond
 ROW_BYTES = 64  # of a row of two numbers or a short id, as it is broadcast
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 _made: dict[str, list[str]] = {}
 
 
@@ -43,8 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that have not got it on their path."""
+    """Make this package importable on executors that have not got it on their path, and keep what a task hands to Python
+    at once small where the session has not been told otherwise: rows may be long."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in on_path or os.getcwd() == str(ROOT) or getattr(sc, "_tessella_shipped", False):
         return
