@@ -114,16 +114,16 @@ def corpus(spark, tmp_path_factory):
     para = lambda: "\n".join(say(rng.randint(4, 20)) for _ in range(rng.randint(2, 6)))
     items = [say(rng.randint(20, 40)) for _ in range(8)] + ["only four words here"]
     texts = [para() for _ in range(60)]
-    planted = {}
+    planted = set()
     for k, item in enumerate(items[:8]):  # in short documents, in one of many words, and between other words of a line
-        planted[len(texts)] = texts.append(f"{para()}\n{item.upper()}\n{say(5)}")
-        planted[len(texts)] = texts.append(f"{say(900)}\n{say(9)} {item}, {say(9)}" if k % 2 else f"{say(6)} {item}")
+        planted |= {len(texts), len(texts) + 1}
+        texts += [f"{para()}\n{re.sub('[a-z]', lambda m: m[0].upper(), item)}\n{say(5)}", f"{say(900)}\n{say(9)} {item}, {say(9)}" if k % 2 else f"{say(6)} {item}"]
     texts += [f"only four words here {say(200)}", "only four words here and more"]
     toxic = set()
     for i in range(120):
         if i % 3 == 0:
             toxic.add(len(texts))
-        texts.append(f"{say(30)} {rng.choice(['vilexo', 'grimpaz', 'hatoxi'])} {say(10)}" if i % 3 == 0 else f"{say(30)} {say(10)}")
+        texts.append(f"{say(30)} vilexo {say(10)}" if i % 3 == 0 else f"{say(30)} {say(10)}")
     for i in range(12):  # exact and near copies
         w = texts[i].split(" ")
         texts += [texts[i], " ".join(w[:-1] + ["changed"]), texts[i].replace("\n", " ")]
@@ -157,7 +157,7 @@ def test_pipeline_equals_plain_versions(spark, corpus):
         assert Counter(map(tuple, out.collect())) == Counter(want), name
         docs, rows = out, want
     last = {r[0] for r in rows}
-    assert not last & planted.keys() and len(toxic - last) > 30
+    assert not last & planted and len(planted) == 16 and len(toxic - last) > 30
     processor = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     got = out.collect()
     assert Counter(tuple(r)[:5] for r in got) == Counter(rows)
