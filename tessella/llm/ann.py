@@ -9,12 +9,15 @@ a search for ``k`` neighbours can never need more than ``k + 1`` of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import ship, stored
+from tessella.llm._shared import lean, named, ship, stored
 
 SHARD = 4096  # points of a shard, on average
 QUERY_BLOCK = 1024
@@ -145,31 +148,41 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searcher(k: int):
-    def run(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Searches of blocks of queries; rows come sorted by shard, its index first, so one index is held at a time."""
+
+    def found(index: dict, unit: np.ndarray, asked: dict) -> pa.RecordBatch:
+        dim = index["dim"]
+        v = np.frombuffer(index["v"]).reshape(-1, dim)
+        graph = np.frombuffer(index["graph"], np.int32).reshape(-1, DEGREE)
+        ids, sizes = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["sizes"], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        norm = np.linalg.norm(v, axis=1)
+        q_ids, q = np.frombuffer(asked["q_ids"], np.int64), np.frombuffer(asked["q"]).reshape(-1, dim)
         out = {"query_id": [], "vec_id": [], "score": []}
-        if len(index) and len(asked):
-            it, dim = index.iloc[0], int(index["dim"].iloc[0])
-            v = np.frombuffer(it["v"]).reshape(-1, dim)
-            graph = np.frombuffer(it["graph"], np.int32).reshape(-1, DEGREE)
-            ids, sizes = np.frombuffer(it["ids"], np.int64), np.frombuffer(it["sizes"], np.int64)
-            begin = np.cumsum(sizes) - sizes
-            norm = np.linalg.norm(v, axis=1)
-            q_ids, q = np.frombuffer(asked["q_ids"].iloc[0], np.int64), np.frombuffer(asked["q"].iloc[0]).reshape(-1, dim)
-            found = search(_unit(v), graph, np.frombuffer(it["entry"], np.int32), _unit(q), BEAM)
-            for i, row in enumerate(found):
-                row = row[row >= 0]
-                score = (v[row] @ q[i]) / (norm[row] * np.linalg.norm(q[i]))
-                each = np.repeat(np.arange(len(row)), sizes[row])
-                inner = np.arange(len(each)) - np.repeat(np.cumsum(sizes[row]) - sizes[row], sizes[row])
-                got, score = ids[begin[row][each] + inner], score[each]
-                keep = got != q_ids[i]
-                got, score = got[keep], score[keep]
-                top = np.lexsort((got, -score))[:k]
-                out["query_id"].append(np.full(len(top), q_ids[i]))
-                out["vec_id"].append(got[top])
-                out["score"].append(score[top])
+        for i, row in enumerate(search(unit, graph, np.frombuffer(index["entry"], np.int32), _unit(q), BEAM)):
+            row = row[row >= 0]
+            score = (v[row] @ q[i]) / (norm[row] * np.linalg.norm(q[i]))
+            each = np.repeat(np.arange(len(row)), sizes[row])
+            inner = np.arange(len(each)) - np.repeat(np.cumsum(sizes[row]) - sizes[row], sizes[row])
+            got, score = ids[begin[row][each] + inner], score[each]
+            keep = got != q_ids[i]
+            got, score = got[keep], score[keep]
+            top = np.lexsort((got, -score))[:k]
+            out["query_id"].append(np.full(len(top), q_ids[i]))
+            out["vec_id"].append(got[top])
+            out["score"].append(score[top])
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pd.DataFrame({c: np.concatenate([np.zeros(0, t), *out[c]]) for c, t in kinds.items()})
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *out[c]])) for c, t in kinds.items()], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, unit = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if row["v"] is not None:
+                    index, unit = row, _unit(np.frombuffer(row["v"]).reshape(-1, row["dim"]))
+                elif index is not None and (index["dim"], index["shard"]) == (row["dim"], row["shard"]):
+                    yield found(index, unit, row)
 
     return run
 
@@ -178,7 +191,7 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``(vec_id, v)`` of rows whose vector has neither nulls nor non-finite components and is not zero."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    rows = df.select(named(vec_id).cast("long").alias("vec_id"), named(vector).alias("v"))
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
 
 
@@ -209,10 +222,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id
     asked = asked.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     packed = stored(asked.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, q_ids binary, q binary"), "queries")
     most = (shards.agg(F.max("shard")).first()[0] or 0) + 1
-    # every block of queries meets every shard
-    left = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searcher(k), "query_id long, vec_id long, score double")
+    # every block of queries is sent to every shard, and passes by the index there
+    blank = lambda *names: {c: F.lit(None).cast("binary") for c in names}
+    left = shards.withColumns({"block": F.lit(-1), **blank("q_ids", "q")})
+    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumns(blank("entry", "v", "graph", "ids", "sizes"))
+    rows = left.unionByName(right).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
+    found = rows.mapInArrow(lean(_searcher(k)), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
