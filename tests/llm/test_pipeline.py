@@ -30,7 +30,7 @@ def test_stages_follow_each_other(spark, sf_dir):
             assert after.keys() == {r.component_id for r in groups.collect()}
         elif name == "benchmark_decontamination":
             found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-            assert before.keys() - after.keys() == {r.doc_id for r in found.where("contaminated").collect()}
+            assert before.keys() - after.keys() == {r.doc_id for r in found.where("contaminated or longest_hit >= 13").collect()}
         elif name == "sentencepiece":
             assert all(r.lossless for r in after.values())
         if name not in ("line_dedup", "sentencepiece"):
