@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one is chosen only where it is unset and the executor is
     the driver's own process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at and not spark.sparkContext.master.startswith("local["):
+    if not at and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
