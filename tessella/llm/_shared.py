@@ -111,6 +111,14 @@ def _drop(sc, top: str) -> None:
             pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have executors collect their garbage, in a task for each core: their heaps, which grow with what earlier steps have
+    left and do not shrink by themselves, go back to what is in use. Results do not depend on it."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    call = F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")
+    spark.range(0, n, 1, n).select(call).write.format("noop").mode("overwrite").save()
+
+
 def without(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without rows whose id and text hash are in ``rows(doc_id, th)``; null ids are ids like others."""
     gone, th = fresh(docs.columns, "gone", "th")
