@@ -10,13 +10,15 @@ their distance. Groups of all sizes are searched so. In those of over ``NODE`` m
 each pair of nodes of that size that is left is a task. A task returns links to one member of each group it found, never
 all pairs.
 
-Few bits alone find little more than copies: texts of which 80 % of the shingles are the same differ in about 10 bits, and
-radii that cover this do not part unlike texts any more. With a ``share``, bits only choose candidates, among texts that
-have a band of least hashes in common, and links are verified on the shingles themselves.
+Few bits alone find little more than copies: texts of which 80 % of the shingles are the same differ in about 10 of 64
+bits, and radii that cover this do not part unlike texts any more. With a ``share``, fingerprints are ``WORDS`` words wide,
+masks keep a block of their bits each, as many as it takes for texts that alike to agree on one, and a group's members
+stand in the same trees; pairs that these leave are candidates, and links are verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,7 +39,12 @@ PAIRS = 1 << 17  # pairs of nodes that are followed at once
 CHUNK = 1 << 16
 CERTAIN = 3  # differing bits up to which texts are taken as alike without a look at their shingles
 SHARE = 0.8  # common shingles of all that two texts have, from which on they are alike
-BANDS, ROWS = 36, 6  # at 80 % in common, two texts have no band in common once in 56,000 times
+WORDS = 8  # words of a wide fingerprint
+BLOCK = 9  # least bits of it that a mask keeps
+MISS = 1 / 56_000  # of pairs with no more than the share in common, those that agree on no block
+CHECK = 3  # words of it in which a candidate's differences are counted
+WIDE = tuple(f"w{i}" for i in range(CHECK))
+AT_ONCE = 1 << 13  # pairs of nodes followed at once where radii are wide and few are skipped
 
 
 def hashes(words: list[bytes], width: int) -> list[int]:
@@ -130,7 +137,7 @@ def tree(codes: np.ndarray, size: np.ndarray) -> list[dict[str, np.ndarray]]:
     return levels
 
 
-def follow(levels: list[dict[str, np.ndarray]], i: np.ndarray, j: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def follow(levels: list[dict[str, np.ndarray]], i: np.ndarray, j: np.ndarray, k: int, at_once: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of codes below pairs ``(i, j)`` of top nodes that differ in at most ``k`` bits; below a pair of a node
     with itself each pair comes once."""
     both = levels[-1]["same"][i] & levels[-1]["same"][j]
@@ -142,31 +149,38 @@ def follow(levels: list[dict[str, np.ndarray]], i: np.ndarray, j: np.ndarray, k:
             pair = i != j
             yield i[pair], j[pair]
             continue
-        if len(i) > PAIRS:
-            for at in range(0, len(i), PAIRS):
-                todo.append((level, *(x[at : at + PAIRS] for x in (i, j, both, sums))))
+        if len(i) > at_once:
+            for at in range(0, len(i), at_once):
+                todo.append((level, *(x[at : at + at_once] for x in (i, j, both, sums))))
             continue
         here, below = levels[level], levels[level - 1]
-        wide = here["count"][i] * here["count"][j]
-        pair = np.repeat(np.arange(len(i)), wide)
-        inner = np.arange(len(pair)) - np.repeat(np.cumsum(wide) - wide, wide)
-        x, y = (here["first"][i][pair] + inner // here["count"][j][pair], here["first"][j][pair] + inner % here["count"][j][pair])
-        fits = (i[pair] != j[pair]) | (x <= y)
-        x, y, pair = x[fits], y[fits], pair[fits]
-        shared = below["same"][x] & below["same"][y]
-        total = sums[pair] + _bits((below["low"][x] ^ below["low"][y]) & shared & ~both[pair])  # only what the parents did not count
+        child = np.arange(FAN)[:, None]  # children come first, so that loops run along the pairs
+        x, y = (np.minimum(here["first"][own] + child, len(below["low"]) - 1) for own in (i, j))
+        all_ = lambda op, c: op(c[x][:, None], c[y][None, :])
+        differ, shared = all_(np.bitwise_xor, below["low"]), None
+        if level > 1:
+            shared = all_(np.bitwise_and, below["same"])
+            differ &= shared
+        differ &= ~both  # only what the parents did not count
+        total = _bits(differ) + sums
         live = total <= k
-        if live.any():
-            todo.append((level - 1, x[live], y[live], shared[live], total[live]))
+        live &= (child < here["count"][i])[:, None] & (child < here["count"][j])
+        at = np.flatnonzero(live)
+        u, v, pair = at // len(i) // FAN, at // len(i) % FAN, at % len(i)
+        x, y = x[u, pair], y[v, pair]
+        fits = (i[pair] != j[pair]) | (x <= y)
+        at = at[fits]
+        if len(at):
+            todo.append((level - 1, x[fits], y[fits], None if shared is None else shared.ravel()[at], total.ravel()[at]))
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(a: np.ndarray, b: np.ndarray | None, k: int, at_once: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of codes in Gray order that differ in at most ``k`` bits: of ``a`` with ``b``, or within ``a``."""
     if b is None:
-        yield from follow(tree(a, np.array([len(a)])), np.zeros(1, np.int64), np.zeros(1, np.int64), k)
+        yield from follow(tree(a, np.array([len(a)])), np.zeros(1, np.int64), np.zeros(1, np.int64), k, at_once)
         return
     levels = tree(np.concatenate([a, b]), np.array([len(a), len(b)]))
-    for x, y in follow(levels, np.zeros(1, np.int64), np.ones(1, np.int64), k):
+    for x, y in follow(levels, np.zeros(1, np.int64), np.ones(1, np.int64), k, at_once):
         yield x, y - len(a)
 
 
@@ -184,11 +198,21 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def _link(k: int):
+def _link(k: int, far: int | None = None):
     """Links within groups; rows come sorted by group, side and Gray rank; a group spans few batches and has two nodes
-    at most."""
-
-    def work(grp: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
+    at most. With ``far`` rows have a name, which the links are between, and more words, in which no more than ``far``
+    bits differ either."""
+    at_once = PAIRS if far is None else AT_ONCE
+
+    def near(pairs: Iterator[tuple[np.ndarray, np.ndarray]], words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, y in pairs:
+            if words:
+                fits = sum(_bits(w[x] ^ w[y]).astype(np.int64) for w in words) <= far
+                x, y = x[fits], y[fits]
+            yield x, y
+
+    def work(grp: np.ndarray, side: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> Iterator[np.ndarray]:
+        name, words = (more[0], more[1:]) if more else (fp, ())
         start = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
         size = np.diff(np.r_[start, len(grp)])
         whole = np.maximum.reduceat(side, start) < 2
@@ -201,14 +225,14 @@ def _link(k: int):
                 some = pick[at : at + max(1, CHUNK // span)]
                 own = np.repeat(start[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
                 codes, top = fp[own], np.arange(len(some))
-                root = roots(len(codes), follow(tree(codes, size[some]), top, top, k))
+                root = roots(len(codes), near(follow(tree(codes, size[some]), top, top, k, at_once), [w[own] for w in words]))
                 hit = np.flatnonzero(root != np.arange(len(codes)))
-                yield np.stack([codes[hit], codes[root[hit]]])
+                yield np.stack([name[own[hit]], name[own[root[hit]]]])
         for s, n in zip(start[~whole], size[~whole], strict=True):
             codes, cut = fp[s : s + n], int((side[s : s + n] < 2).sum())
-            root = roots(n, ((x, y + cut) for x, y in close_pairs(codes[:cut], codes[cut:], k)))
+            root = roots(n, near(((x, y + cut) for x, y in close_pairs(codes[:cut], codes[cut:], k, at_once)), [w[s : s + n] for w in words]))
             hit = np.flatnonzero(root != np.arange(n))
-            yield np.stack([codes[hit], codes[root[hit]]])
+            yield np.stack([name[s + hit], name[s + root[hit]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
@@ -219,8 +243,8 @@ def _link(k: int):
                     yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            cols[2] = cols[2].view(np.uint64)
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[2:] = [c.view(np.uint64) for c in cols[2:]]
             if left is not None:
                 cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
             if not len(cols[0]):
@@ -237,36 +261,40 @@ def _link(k: int):
 
 def links(codes: DataFrame, k: int = 3) -> DataFrame:
     """``(a, b)`` codes of distinct ``codes(fp)``: pairs whose components are those of "differ in at most k bits"."""
-    spark = codes.sparkSession
-    ship(spark)
+    ship(codes.sparkSession)
     n = codes.count()
     kept = masks(n, k)
-    members = n * len(kept)
     member = codes.select(
         "fp",
         gray_rank(F.col("fp")).alias("gray"),
         F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in kept))).alias("mask", "shared"),
     )
     sizes = member.groupBy("mask", "shared").agg(F.count("*").alias("n"))
+    return _searched(member, sizes, n * len(kept), k)
+
+
+def _searched(member: DataFrame, sizes: DataFrame, members: int, k: int, more: tuple[str, ...] = (), far: int | None = None) -> DataFrame:
+    """``(a, b)`` links within the groups of ``member(mask, shared, fp, gray)``, which ``sizes`` counts; ``more`` columns
+    are a name and words for ``_link``."""
     hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared"), "hot", members // NODE)
     grp = F.xxhash64("mask", "shared")
     if not hot.head(1):
-        rows = member.select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray")
-        return _grouped(rows, k)
+        rows = member.select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray", *more)
+        return _grouped(rows, k, more, far)
     # Large groups: stretches of the Gray order are nodes, whatever their number; keep what each node's members share.
     order = ["mask", "shared", "gray"]
     mine = member.join(hot, ["mask", "shared"]).repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    mine = mine.select("mask", "shared", "fp", "gray", (F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.floor(at / NODE)).alias("node"))
+    mine = mine.select("mask", "shared", "fp", "gray", *more, (F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.floor(at / NODE)).alias("node"))
     mine = stored(mine, "nodes", members)
     pair = stored(_node_pairs(mine.groupBy("mask", "shared", "node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")), k), "pairs")
     ends = pair.select(
         "mask", "shared", F.xxhash64("mask", "shared", "p", "q").alias("grp"),
         F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("node"), F.lit(1).alias("side")))).otherwise(F.array(F.struct(F.col("p").alias("node"), F.lit(1).alias("side")), F.struct(F.col("q").alias("node"), F.lit(2).alias("side"))))).alias("e"),
     ).select("mask", "shared", "grp", "e.node", "e.side")
-    large = mine.join(ends, ["mask", "shared", "node"]).select("grp", "side", "fp", "gray")
-    little = member.join(hot, ["mask", "shared"], "left_anti").select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray")
-    return _grouped(little.unionByName(large), k)
+    large = mine.join(ends, ["mask", "shared", "node"]).select("grp", "side", "fp", "gray", *more)
+    little = member.join(hot, ["mask", "shared"], "left_anti").select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray", *more)
+    return _grouped(little.unionByName(large), k, more, far)
 
 
 def _node_pairs(node: DataFrame, k: int) -> DataFrame:
@@ -295,19 +323,78 @@ def _node_pairs(node: DataFrame, k: int) -> DataFrame:
     return pairs.join(named_("p"), [*keys, "p"]).join(named_("q"), [*keys, "q"]).select(*keys, F.col("p_node").alias("p"), F.col("q_node").alias("q"))
 
 
-def _grouped(rows: DataFrame, k: int) -> DataFrame:
-    return rows.repartition("grp").sortWithinPartitions("grp", "side", "gray").select("grp", "side", "fp").mapInArrow(lean(_link(k)), "a long, b long")
+def _grouped(rows: DataFrame, k: int, more: tuple[str, ...] = (), far: int | None = None) -> DataFrame:
+    return rows.repartition("grp").sortWithinPartitions("grp", "side", "gray").select("grp", "side", "fp", *more).mapInArrow(lean(_link(k, far)), "a long, b long")
 
 
-def _sketch(width: int, sets: bool):
-    """Per text its fingerprint, a hash of its set of shingles, and the set itself or else its band keys."""
-    salt = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+def wide(own: np.ndarray) -> np.ndarray:
+    """The ``WORDS`` words whose bits are set in over half of as many hashes of each of a set's members."""
+    salt = np.random.default_rng(SEED).integers(1 << 63, size=WORDS, dtype=np.uint64)
+    count = np.zeros(BITS * WORDS, np.int64)
+    for at in range(0, len(own), 1024):
+        x = own[at : at + 1024, None] ^ salt
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * count > len(own), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def differing(share: float) -> float:
+    """The part of a wide fingerprint's bits that is likely to differ where ``share`` of all shingles are common."""
+    return math.acos(2 * share / (1 + share)) / math.pi
+
+
+def blocks(n: int, share: float) -> list[np.ndarray]:
+    """For each mask the bits of a wide fingerprint that it keeps. Two texts with ``share`` in common agree on none of
+    them at a rate of ``MISS`` at most. Bits grow with the number ``n`` of values, so that groups stay below ``NODE`` on average."""
+    size = max(BLOCK, (2 * n // NODE).bit_length())
+    apart = BITS * WORDS // size  # blocks that have no bit in common
+    number = max(apart, math.ceil(math.log(MISS) / math.log1p(-((1 - differing(share)) ** size))))
+    rng = np.random.default_rng(SEED)
+    found: list[np.ndarray] = []
+    while len(found) < number:
+        order = rng.permutation(BITS * WORDS)
+        found += [order[at : at + size] for at in range(0, apart * size, size)]
+    return found[:number]
+
+
+def _dealt(kept: list[np.ndarray], count: bool):
+    """A row of each code and mask, or only how many rows each group has of the batch."""
 
-    def keys(own: np.ndarray) -> list[int]:
-        least = np.full(BANDS * ROWS, ~np.uint64(0))
-        for at in range(0, len(own), 2048):
-            least = np.minimum(least, ((own[at : at + 2048, None] ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
-        return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                words = part.column("list").flatten().to_numpy().reshape(-1, WORDS)
+                bits = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+                shared = np.stack([bits[:, b].astype(np.int64) @ (np.int64(1) << np.arange(len(b))) for b in kept], axis=1)
+                mask = np.broadcast_to(np.arange(len(kept), dtype=np.int32), shared.shape)
+                if count:
+                    key, n = np.unique(mask.astype(np.int64) << 32 | shared, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["mask", "shared", "n"])
+                    continue
+                each = lambda c: pa.array(np.repeat(c, len(kept)))
+                own = [each(part.column(c).to_numpy()) for c in ("fp", "code")] + [each(words[:, w]) for w in range(CHECK)]
+                yield pa.RecordBatch.from_arrays([pa.array(mask.ravel()), pa.array(shared.ravel()), *own], ["mask", "shared", "fp", "code", *WIDE])
+
+    return run
+
+
+def candidates(codes: DataFrame, n: int, k: int, share: float) -> DataFrame:
+    """``(a, b)`` codes of ``n`` rows ``codes(code, fp, list)``, lists being wide fingerprints: pairs whose components hold
+    every two codes of at most ``k`` differing bits that may have ``share`` in common."""
+    ship(codes.sparkSession)
+    kept = blocks(n, share)
+    total, part = BITS * CHECK, 1.25 * differing(share)  # texts of few shingles differ in more bits
+    far = int(total * part + 4.5 * math.sqrt(total * part * (1 - part)))
+    sizes = codes.mapInArrow(lean(_dealt(kept, True)), "mask int, shared long, n long").groupBy("mask", "shared").agg(F.sum("n").alias("n"))
+    member = codes.mapInArrow(lean(_dealt(kept, False)), f"mask int, shared long, fp long, code long, {', '.join(f'{w} long' for w in WIDE)}")
+    return _searched(member.withColumn("gray", gray_rank(F.col("fp"))), sizes, n * len(kept), k, ("code", *WIDE), far)
+
+
+def _sketch(width: int, sets: bool):
+    """Per text its fingerprint, a hash of its set of shingles, and the set itself or else its wide fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +407,7 @@ def _sketch(width: int, sets: bool):
                     own = np.unique(np.array(h, np.uint64))
                     fp.append(majority(h) if h else 0)
                     code.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                    lists.append(own if sets else np.array(keys(own), np.uint64))
+                    lists.append(own if sets else wide(own))
                 ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
                 flat = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
                 longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fp, code)]
@@ -372,8 +459,8 @@ def _verified(k: int, share: float):
 
 
 def _alike_duplicates(df: DataFrame, doc_id: str, text: str, width: int, k: int, share: float) -> DataFrame:
-    """``near_duplicates`` with a ``share``. Texts with one set of shingles are one code. Codes with a common band key are
-    candidates; only their texts are read again, and each group that candidates form is compared in one task."""
+    """``near_duplicates`` with a ``share``. Texts with one set of shingles are one code. The index links ``candidates``;
+    only their texts are read again, and each group that candidates form is compared in one task."""
     ship(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
     src = _source(df, doc_id, text)
@@ -381,15 +468,16 @@ def _alike_duplicates(df: DataFrame, doc_id: str, text: str, width: int, k: int,
     rows = stored(src.mapInArrow(lean(_sketch(width, False)), ddl), "sketches")
     n = rows.count()
     codes = stored(rows.groupBy("code").agg(F.min("doc_id").alias("first")), "codes", n)
-    band = rows.select("code", F.explode("list").alias("key"))
-    shared = band.groupBy("key").agg(F.min("code").alias("b"), F.max("code").alias("hi")).where("b <> hi").select(F.bitwise_not("key").alias("key"), "b")
-    edges = band.select(F.col("code").alias("a"), F.bitwise_not("key").alias("key")).join(shared, "key").select("a", "b")
-    tree = components(edges, rows=n * BANDS)
+    # texts of one set may repeat shingles, and so differ in bits
+    several = stored(rows.groupBy("code", "fp").agg(F.first("list").alias("list")), "several", n)
+    m = several.count()
+    tree = components(candidates(several, m, k, share), rows=m * len(blocks(m, share)))
     members = stored(tree.union(tree.select("root", "root")).distinct().toDF("code", "grp"), "members", n)
     ids = stored(codes.join(members, "code").select(F.col("first").alias("id")).distinct(), "ids", n)
     few = F.broadcast(ids) if ids.count() * ROW_BYTES <= BROADCAST_BYTES else ids
     again = src.join(few, src.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(lean(_sketch(width, True)), ddl)
-    sets = again.join(members, "code").dropDuplicates(["code"]).select("grp", "code", "fp", "list")
+    sets = again.join(members, "code").dropDuplicates(["code"]).select("grp", "code", "list")
+    sets = sets.join(several.select("code", "fp"), "code").select("grp", "code", "fp", "list")
     links = sets.repartition("grp").sortWithinPartitions("grp", "code").mapInArrow(lean(_verified(k, share)), "a long, b long")
     return _rooted(rows, codes, components(links, rows=n), "code", n)
 
