@@ -42,6 +42,7 @@ SHARE = 0.8  # common shingles of all that two texts have, from which on they ar
 WORDS = 8  # words of a wide fingerprint
 BLOCK = 9  # least bits of it that a mask keeps
 MISS = 1 / 56_000  # of pairs with no more than the share in common, those that agree on no block
+FIRST = 4  # masks that are searched before the others
 CHECK = 3  # words of it in which a candidate's differences are counted
 WIDE = tuple(f"w{i}" for i in range(CHECK))
 AT_ONCE = 1 << 13  # pairs of nodes followed at once where radii are wide and few are skipped
@@ -201,7 +202,7 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def _link(k: int, far: int | None = None):
     """Links within groups; rows come sorted by group, side and Gray rank; a group spans few batches and has two nodes
     at most. With ``far`` rows have a name, which the links are between, and more words, in which no more than ``far``
-    bits differ either."""
+    bits differ either. Rows of one name are linked already; groups of nothing else are passed over."""
     at_once = PAIRS if far is None else AT_ONCE
 
     def near(pairs: Iterator[tuple[np.ndarray, np.ndarray]], words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,10 +214,18 @@ def _link(k: int, far: int | None = None):
 
     def work(grp: np.ndarray, side: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> Iterator[np.ndarray]:
         name, words = (more[0], more[1:]) if more else (fp, ())
+
+        def joined(own: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            names, at = np.unique(name[own], return_inverse=True)
+            root = roots(len(names), ((at[x], at[y]) for x, y in near(pairs, [w[own] for w in words])))
+            hit = np.flatnonzero(root != np.arange(len(names)))
+            return np.stack([names[hit], names[root[hit]]])
+
         start = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
         size = np.diff(np.r_[start, len(grp)])
         whole = np.maximum.reduceat(side, start) < 2
-        several = whole & (size > 1)
+        open_ = np.minimum.reduceat(name, start) != np.maximum.reduceat(name, start)
+        several = whole & open_
         span = 1
         while span < size[several].max(initial=1):  # trees of one height are followed together
             span, least = span * FAN, span
@@ -225,14 +234,10 @@ def _link(k: int, far: int | None = None):
                 some = pick[at : at + max(1, CHUNK // span)]
                 own = np.repeat(start[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
                 codes, top = fp[own], np.arange(len(some))
-                root = roots(len(codes), near(follow(tree(codes, size[some]), top, top, k, at_once), [w[own] for w in words]))
-                hit = np.flatnonzero(root != np.arange(len(codes)))
-                yield np.stack([name[own[hit]], name[own[root[hit]]]])
-        for s, n in zip(start[~whole], size[~whole], strict=True):
+                yield joined(own, follow(tree(codes, size[some]), top, top, k, at_once))
+        for s, n in zip(start[~whole & open_], size[~whole & open_], strict=True):
             codes, cut = fp[s : s + n], int((side[s : s + n] < 2).sum())
-            root = roots(n, near(((x, y + cut) for x, y in close_pairs(codes[:cut], codes[cut:], k, at_once)), [w[s : s + n] for w in words]))
-            hit = np.flatnonzero(root != np.arange(n))
-            yield np.stack([name[s + hit], name[s + root[hit]]])
+            yield joined(np.arange(s, s + n), ((x, y + cut) for x, y in close_pairs(codes[:cut], codes[cut:], k, at_once)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
@@ -276,46 +281,67 @@ def links(codes: DataFrame, k: int = 3) -> DataFrame:
 def _searched(member: DataFrame, sizes: DataFrame, members: int, k: int, more: tuple[str, ...] = (), far: int | None = None) -> DataFrame:
     """``(a, b)`` links within the groups of ``member(mask, shared, fp, gray)``, which ``sizes`` counts; ``more`` columns
     are a name and words for ``_link``."""
-    hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared"), "hot", members // NODE)
-    grp = F.xxhash64("mask", "shared")
-    if not hot.head(1):
-        rows = member.select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray", *more)
-        return _grouped(rows, k, more, far)
-    # Large groups: stretches of the Gray order are nodes, whatever their number; keep what each node's members share.
-    order = ["mask", "shared", "gray"]
-    mine = member.join(hot, ["mask", "shared"]).repartitionByRange(*order).sortWithinPartitions(*order)
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    mine = mine.select("mask", "shared", "fp", "gray", *more, (F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.floor(at / NODE)).alias("node"))
-    mine = stored(mine, "nodes", members)
-    pair = stored(_node_pairs(mine.groupBy("mask", "shared", "node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")), k), "pairs")
+    found, mine = _inner(member, sizes, members, k, more, far)
+    if mine is None:
+        return found
+    name = more[0] if more else "fp"
+    if more:
+        # Radii are wide and nodes alike: what is linked by now goes by one name, and nodes of one name do not meet.
+        found = components(found, rows=members)
+        to = found.select(F.col("node").alias("was"), F.col("root").alias("now"))
+        own = [F.coalesce("now", name).alias(name) if c == name else F.col(c) for c in ("mask", "shared", "fp", "gray", *more)]
+        mine = _nodes(mine.join(to, mine[name] == to.was, "left").select(*own), ["mask", "shared", name, "gray"], members)
+    bounds = [F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"), F.min(name).alias("least"), F.max(name).alias("most")]
+    pair = _node_pairs(mine.groupBy("mask", "shared", "node").agg(*bounds), k)
+    pair = stored(pair if more else pair.where("p < q"), "pairs")
     ends = pair.select(
         "mask", "shared", F.xxhash64("mask", "shared", "p", "q").alias("grp"),
         F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("node"), F.lit(1).alias("side")))).otherwise(F.array(F.struct(F.col("p").alias("node"), F.lit(1).alias("side")), F.struct(F.col("q").alias("node"), F.lit(2).alias("side"))))).alias("e"),
     ).select("mask", "shared", "grp", "e.node", "e.side")
     large = mine.join(ends, ["mask", "shared", "node"]).select("grp", "side", "fp", "gray", *more)
-    little = member.join(hot, ["mask", "shared"], "left_anti").select(grp.alias("grp"), F.lit(0).alias("side"), "fp", "gray", *more)
-    return _grouped(little.unionByName(large), k, more, far)
+    return found.toDF("a", "b").union(_grouped(large, k, more, far))
+
+
+def _inner(member: DataFrame, sizes: DataFrame, members: int, k: int, more: tuple[str, ...], far: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Links within groups of up to ``NODE`` members and within the nodes of larger ones; the members of the latter."""
+    hot = stored(sizes.where(F.col("n") > NODE).select("mask", "shared"), "hot", members // NODE)
+    row = [F.lit(0).alias("side"), "fp", "gray", *more]
+    grp = F.xxhash64("mask", "shared").alias("grp")
+    if not hot.head(1):
+        return _grouped(member.select(grp, *row), k, more, far), None
+    # Large groups: stretches of the Gray order are nodes, whatever their number.
+    mine = _nodes(member.join(hot, ["mask", "shared"]).select("mask", "shared", "fp", "gray", *more), ["mask", "shared", "gray"], members)
+    little = member.join(hot, ["mask", "shared"], "left_anti").select(grp, *row)
+    return _grouped(little.unionByName(mine.select(F.xxhash64("mask", "shared", "node").alias("grp"), *row)), k, more, far), mine
+
+
+def _nodes(mine: DataFrame, order: list[str], members: int) -> DataFrame:
+    """Members of large groups with the node that they are in: stretches of ``NODE`` rows in this order."""
+    mine = mine.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(mine.withColumn("node", F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.floor(at / NODE)), "nodes", members)
 
 
 def _node_pairs(node: DataFrame, k: int) -> DataFrame:
     """``(mask, shared, p, q)``: pairs of nodes of one group whose shared bits differ in at most ``k`` places, found from
-    the top down. Upper nodes have ``UPPER`` children; only the topmost, ``UPPER`` in a group at most, meet all."""
+    the top down; pairs with one name in all, from ``least`` to ``most``, are left out. Upper nodes have ``UPPER`` children; only the topmost, ``UPPER`` in a group at most, meet all."""
     keys = ["mask", "shared"]
     same = F.bitwise_not(F.col("low").bitwiseXOR(F.col("high")))
     levels = [stored(node.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("node")).cast("long") - 1), "level")]
     most = levels[0].agg(F.max("rank")).first()[0] + 1
     while most > UPPER:
-        up = levels[-1].groupBy(*keys, F.floor(F.col("rank") / UPPER).alias("up")).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"))
+        up = levels[-1].groupBy(*keys, F.floor(F.col("rank") / UPPER).alias("up")).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"))
         levels.append(stored(up.withColumnRenamed("up", "rank"), "level"))
         most = -(-most // UPPER)
-    side = lambda level, c: levels[level].select(*keys, F.col("rank").alias(c), F.floor(F.col("rank") / UPPER).alias(f"{c}_up"), F.col("low").alias(f"{c}_low"), same.alias(f"{c}_same"))
+    side = lambda level, c: levels[level].select(*keys, F.col("rank").alias(c), F.floor(F.col("rank") / UPPER).alias(f"{c}_up"), F.col("low").alias(f"{c}_low"), same.alias(f"{c}_same"), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most"))
     both = F.col("p_same").bitwiseAND(F.col("q_same"))
     differ = F.col("p_low").bitwiseXOR(F.col("q_low")).bitwiseAND(both)
+    several = F.least("p_least", "q_least") < F.greatest("p_most", "q_most")
     top = len(levels) - 1
-    pairs = side(top, "p").join(side(top, "q"), keys).where("p <= q").select(*keys, "p", "q", both.alias("both"), F.bit_count(differ).alias("sum")).where(F.col("sum") <= k)
+    pairs = side(top, "p").join(side(top, "q"), keys).where("p <= q").where(several).select(*keys, "p", "q", both.alias("both"), F.bit_count(differ).alias("sum")).where(F.col("sum") <= k)
     for level in range(top - 1, -1, -1):
         pairs = stored(pairs, "pairs").select(*keys, F.col("p").alias("p_up"), F.col("q").alias("q_up"), F.col("both").alias("known"), F.col("sum").alias("before"))
-        pairs = pairs.join(side(level, "p"), [*keys, "p_up"]).join(side(level, "q"), [*keys, "q_up"]).where("p <= q")
+        pairs = pairs.join(side(level, "p"), [*keys, "p_up"]).join(side(level, "q"), [*keys, "q_up"]).where("p <= q").where(several)
         total = F.col("before") + F.bit_count(differ.bitwiseAND(F.bitwise_not("known")))
         pairs = pairs.select(*keys, "p", "q", both.alias("both"), total.alias("sum")).where(F.col("sum") <= k)
     name = levels[0].select(*keys, "rank", "node")
@@ -375,8 +401,8 @@ def _dealt(kept: list[np.ndarray], count: bool):
                     yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["mask", "shared", "n"])
                     continue
                 each = lambda c: pa.array(np.repeat(c, len(kept)))
-                own = [each(part.column(c).to_numpy()) for c in ("fp", "code")] + [each(words[:, w]) for w in range(CHECK)]
-                yield pa.RecordBatch.from_arrays([pa.array(mask.ravel()), pa.array(shared.ravel()), *own], ["mask", "shared", "fp", "code", *WIDE])
+                own = [each(part.column(c).to_numpy()) for c in ("fp", "name")] + [each(words[:, w]) for w in range(CHECK)]
+                yield pa.RecordBatch.from_arrays([pa.array(mask.ravel()), pa.array(shared.ravel()), *own], ["mask", "shared", "fp", "name", *WIDE])
 
     return run
 
@@ -388,9 +414,18 @@ def candidates(codes: DataFrame, n: int, k: int, share: float) -> DataFrame:
     kept = blocks(n, share)
     total, part = BITS * CHECK, 1.25 * differing(share)  # texts of few shingles differ in more bits
     far = int(total * part + 4.5 * math.sqrt(total * part * (1 - part)))
-    sizes = codes.mapInArrow(lean(_dealt(kept, True)), "mask int, shared long, n long").groupBy("mask", "shared").agg(F.sum("n").alias("n"))
-    member = codes.mapInArrow(lean(_dealt(kept, False)), f"mask int, shared long, fp long, code long, {', '.join(f'{w} long' for w in WIDE)}")
-    return _searched(member.withColumn("gray", gray_rank(F.col("fp"))), sizes, n * len(kept), k, ("code", *WIDE), far)
+
+    def dealt(named_: DataFrame, some: list[np.ndarray]) -> tuple[DataFrame, DataFrame, int]:
+        sizes = codes.mapInArrow(lean(_dealt(some, True)), "mask int, shared long, n long").groupBy("mask", "shared").agg(F.sum("n").alias("n"))
+        member = named_.mapInArrow(lean(_dealt(some, False)), f"mask int, shared long, fp long, name long, {', '.join(f'{w} long' for w in WIDE)}")
+        return member.withColumn("gray", gray_rank(F.col("fp"))), sizes, n * len(some)
+
+    # A group of near copies is linked anew under every mask. A few masks join most of it; the others link what is left.
+    more = ("name", *WIDE)
+    found, _ = _inner(*dealt(codes.withColumn("name", F.col("code")), kept[:FIRST]), k, more, far)
+    tree = components(found, rows=n * FIRST)
+    named_ = codes.join(tree, codes.code == tree.node, "left").select("fp", "list", F.coalesce("root", "code").alias("name"))
+    return tree.toDF("a", "b").union(_searched(*dealt(named_, kept), k, more, far))
 
 
 def _sketch(width: int, sets: bool):

@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from tessella.llm import simhash
+from tessella.llm import _shared, simhash
 
 
 def near_copies(seed: int) -> list[list[str]]:
@@ -67,6 +67,40 @@ def test_candidates_hold_all_alike_texts_and_no_unlike_ones(frame, monkeypatch):
     assert groups() == whole and len(set(whole)) < len(sets)
 
 
+def test_links_of_near_copies_grow_no_faster_than_their_number(frame, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE", 32)
+    monkeypatch.setattr(simhash, "UPPER", 4)
+    edges, stored = [], simhash.stored
+
+    def counted(df, name="step", rows=None):
+        out = stored(df, name, rows)
+        edges.append((name, out.count()))
+        return out
+
+    for module in (simhash, _shared):
+        monkeypatch.setattr(module, "stored", counted)
+    rng = np.random.default_rng(3)
+    first = rng.integers(1 << 63, size=(2, 200), dtype=np.uint64)
+
+    def copy(i):  # of every 50 one is a copy of another text
+        own = first[int(i % 50 == 0)].copy()
+        own[rng.choice(200, 10, replace=False)] = rng.integers(1 << 63, size=10, dtype=np.uint64)
+        return np.unique(own)
+
+    most = {}
+    for n in (250, 1000):
+        sets = [copy(i) for i in range(n)]
+        rows = [(i, int(np.uint64(simhash.majority(s.tolist())).view(np.int64)), simhash.wide(s).view(np.int64).tolist()) for i, s in enumerate(sets)]
+        codes = frame(rows, "code long, fp long, list array<bigint>")
+        edges.clear()
+        tree = _shared.components(simhash.candidates(codes, n, 24, 0.8))
+        root = {r.node: r.root for r in tree.collect()}
+        assert {root.get(i, i) for i in range(n) if i % 50} == {1} and {root.get(i, i) for i in range(0, n, 50)} == {0}
+        most[n] = max(rows for name, rows in edges if name == "edges")
+        assert any(name == "pairs" for name, _ in edges)  # some groups have many nodes
+    assert most[1000] <= 4 * simhash.FIRST * 1000 and most[1000] <= 6 * most[250], most
+
+
 def test_masks_of_wide_fingerprints_miss_few():
     rng = np.random.default_rng(1)
     for n in (1000, 200_000, 15_000_000):
